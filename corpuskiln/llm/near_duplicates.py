@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.words import normal_words, shingle_set
+from corpuskiln.functions.words import split_words
 from corpuskiln.operators.components import connected_components
 from corpuskiln.session import durable
 
@@ -40,7 +40,7 @@ SMALL = 10
 ANCHORS = 12
 #: Variants that more texts share than this are refined by an exact prefix filter.
 HOT = 256
-#: Keys of candidates are broadcast up to this many (8 bytes each), else joined by a shuffle.
+#: Keys of candidates are sent to the workers up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
 _BITS = np.uint64(48)
@@ -54,16 +54,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
         if len(self) < 1_000_000:
             self[word] = value
         return value
 
 
-def ring(texts: list[str], size: int, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 48-bit shingle hashes of at most 65,536 normalised texts in (text, hash) order, and the texts' numbers."""
-    words = [t.split() for t in texts]
+def ring(words: list[list[bytes]], size: int, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 48-bit shingle hashes of at most 65,536 texts in (text, hash) order, and the texts' numbers."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(lengths.sum()))
     owner = np.repeat(np.arange(len(words), dtype=np.uint64), lengths)
@@ -81,6 +80,11 @@ def ring(texts: list[str], size: int, hashes: dict) -> tuple[np.ndarray, np.ndar
     return packed & ((np.uint64(1) << _BITS) - np.uint64(1)), (packed >> _BITS).astype(np.int64)
 
 
+def text_keys(words: list[list[bytes]]) -> np.ndarray:
+    """A 64-bit key of each text's word sequence."""
+    return np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], dtype=np.uint64).view(np.int64)
+
+
 def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(variant, text number) of all fingerprints' half balls."""
     if not len(value):
@@ -113,42 +117,74 @@ def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> tuple[np.
     return np.concatenate(out_v), np.concatenate(out_o)
 
 
+def _long_enough(column: pa.Array, size: int) -> tuple[np.ndarray, list[list[bytes]]]:
+    words = split_words(column.to_pylist())
+    at = np.array([i for i, w in enumerate(words) if len(w) >= size], dtype=np.int64)
+    return at, [words[i] for i in at]
+
+
+def _keyer(size: int):
+    def key(batches):
+        for batch in batches:
+            at, words = _long_enough(batch.column(2), size)
+            kept = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(text_keys(words))], names=["_id", "_version", "key"])
+
+    return key
+
+
 def _emitter(size: int, anchors: int | None):
     def emit(batches):
         hashes = _WordHashes()
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, at = np.unique(keys, return_index=True)
-            texts = batch.column(1).take(pa.array(at)).to_pylist()
-            for i in range(0, len(texts), _TEXTS):
-                variant, owner = ball(*ring(texts[i : i + _TEXTS], size, hashes), anchors)
+            _, words = _long_enough(batch.column(0), size)
+            keys, at = np.unique(text_keys(words), return_index=True)
+            words = [words[i] for i in at]
+            for i in range(0, len(words), _TEXTS):
+                variant, owner = ball(*ring(words[i : i + _TEXTS], size, hashes), anchors)
                 yield pa.RecordBatch.from_arrays([pa.array(variant.view(np.int64)), pa.array(keys[i + owner])], names=["variant", "key"])
 
     return emit
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str, version_col: str | None, size: int) -> tuple[DataFrame, DataFrame]:
-    words = normal_words(text_col)
-    rows = (
-        df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), (F.col(version_col) if version_col else F.lit(0)).alias("_version"), words.alias("_words"))
-        .where(F.length("_words") - F.length(F.replace("_words", F.lit(" "), F.lit(""))) >= size - 1)
-        .select("_id", "_version", "_words", F.xxhash64("_words").alias("key"))
-    )
-    newest = F.struct(F.coalesce("_version", F.lit(None)), "key")
-    members = rows.groupBy("_id").agg(F.max(newest)["key"].alias("key"))
-    return rows, members
+def _ringer(size: int, wanted):
+    def emit(batches):
+        hashes, only = _WordHashes(), None if wanted is None else wanted.value
+        for batch in batches:
+            _, words = _long_enough(batch.column(0), size)
+            keys, at = np.unique(text_keys(words), return_index=True)
+            if only is not None:
+                inside = np.isin(keys, only, assume_unique=True)
+                keys, at = keys[inside], at[inside]
+            words = [words[i] for i in at]
+            for i in range(0, len(words), _TEXTS):
+                value, owner = ring(words[i : i + _TEXTS], size, hashes)
+                ends = np.searchsorted(owner, np.arange(len(words[i : i + _TEXTS]) + 1)).astype(np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + _TEXTS]), parts], names=["key", "parts"])
+
+    return emit
 
 
-def _hot_pairs(hot: DataFrame, rows: DataFrame, size: int, tenths: int) -> DataFrame:
+def _rings(texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """key, parts (48-bit hashes of its shingles) of the wanted texts."""
+    schema = "key long, parts array<long>"
+    if keys.count() <= BROADCAST_KEYS:
+        wanted = np.sort(np.array([r[0] for r in keys.collect()], dtype=np.int64))
+        found = texts.mapInArrow(_ringer(size, texts.sparkSession.sparkContext.broadcast(wanted)), schema)
+    else:
+        found = texts.mapInArrow(_ringer(size, None), schema).join(keys, "key", "left_semi")
+    return found.groupBy("key").agg(F.first("parts").alias("parts"))
+
+
+def _hot_pairs(hot: DataFrame, texts: DataFrame, size: int, tenths: int) -> DataFrame:
     """Exact candidate pairs among the texts of too common variants: prefix filtering, rarest shingle first.
 
     Texts of similarity t share one of their n - ceil(t n) + 1 first shingles
     in any common order. The order by frequency among these very texts puts
     what they all share last.
     """
-    texts = rows.join(hot.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("_words").alias("_words"))
-    parts = texts.select("key", F.explode(shingle_set(F.col("_words"), size)).alias("part")).select("key", F.xxhash64("part").alias("part"))
+    parts = _rings(texts, hot.select("key").distinct(), size).select("key", F.explode("parts").alias("part"))
     common = parts.groupBy("part").agg(F.count("*").alias("n"))
     inside = Window.partitionBy("key")
     ranked = (
@@ -187,8 +223,13 @@ def linked_texts(
     """
     if tenths < 7:
         raise ValueError("the fingerprints' radius covers similarities of 0.7 and more")
-    rows, members = _texts(df, id_col, text_col, version_col, size)
-    balls = rows.select("key", "_words").mapInArrow(_emitter(size, anchors), "variant long, key long")
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("_text")).where("_text is not null")
+    versions = F.col(version_col) if version_col else F.lit(0)
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), versions.alias("_version"), F.col(text_col).alias("_text"))
+    kinds = dict(rows.dtypes)
+    keyed = rows.mapInArrow(_keyer(size), f"_id {kinds['_id']}, _version {kinds['_version']}, key long")
+    members = keyed.groupBy("_id").agg(F.max(F.struct("_version", "key"))["key"].alias("key"))
+    balls = texts.mapInArrow(_emitter(size, anchors), "variant long, key long")
     group = Window.partitionBy("variant")
     shared = (
         balls.withColumn("_least", F.min("key").over(group))
@@ -207,15 +248,12 @@ def linked_texts(
     )
     many = shared.where(F.col("n") > hot)
     if not many.isEmpty():
-        met = met.unionByName(_hot_pairs(many, rows, size, tenths))
+        met = met.unionByName(_hot_pairs(many, texts, size, tenths))
     pairs = durable(met.distinct())
     keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("_words").alias("_words"))
-    texts = durable(texts.select("key", shingle_set(F.col("_words"), size).alias("parts")))
-    a = texts.select(F.col("key").alias("key_a"), F.col("parts").alias("parts_a"))
-    b = texts.select(F.col("key").alias("key_b"), F.col("parts").alias("parts_b"))
+    sets = durable(_rings(texts, durable(keys), size))
+    a = sets.select(F.col("key").alias("key_a"), F.col("parts").alias("parts_a"))
+    b = sets.select(F.col("key").alias("key_b"), F.col("parts").alias("parts_b"))
     common = F.size(F.array_intersect("parts_a", "parts_b"))
     links = (
         pairs.join(a, "key_a")
