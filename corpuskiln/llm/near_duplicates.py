@@ -40,7 +40,7 @@ SMALL = 10
 ANCHORS = 12
 #: Variants that more texts share than this are refined by an exact prefix filter.
 HOT = 256
-#: Keys of candidates are sent to the workers up to this many (8 bytes each), else joined by a shuffle.
+#: Keys of candidates are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
 _BITS = np.uint64(48)
@@ -147,34 +147,36 @@ def _emitter(size: int, anchors: int | None):
     return emit
 
 
-def _ringer(size: int, wanted):
+def _text_keyer(size: int):
+    def key(batches):
+        for batch in batches:
+            at, words = _long_enough(batch.column(0), size)
+            keys, first = np.unique(text_keys(words), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(at[first]))], names=["key", "_text"])
+
+    return key
+
+
+def _ringer(size: int):
     def emit(batches):
-        hashes, only = _WordHashes(), None if wanted is None else wanted.value
+        hashes = _WordHashes()
         for batch in batches:
-            _, words = _long_enough(batch.column(0), size)
-            keys, at = np.unique(text_keys(words), return_index=True)
-            if only is not None:
-                inside = np.isin(keys, only, assume_unique=True)
-                keys, at = keys[inside], at[inside]
-            words = [words[i] for i in at]
+            words = split_words(batch.column(1).to_pylist())
             for i in range(0, len(words), _TEXTS):
                 value, owner = ring(words[i : i + _TEXTS], size, hashes)
                 ends = np.searchsorted(owner, np.arange(len(words[i : i + _TEXTS]) + 1)).astype(np.int32)
                 parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + _TEXTS]), parts], names=["key", "parts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, _TEXTS), parts], names=["key", "parts"])
 
     return emit
 
 
 def _rings(texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     """key, parts (48-bit hashes of its shingles) of the wanted texts."""
-    schema = "key long, parts array<long>"
     if keys.count() <= BROADCAST_KEYS:
-        wanted = np.sort(np.array([r[0] for r in keys.collect()], dtype=np.int64))
-        found = texts.mapInArrow(_ringer(size, texts.sparkSession.sparkContext.broadcast(wanted)), schema)
-    else:
-        found = texts.mapInArrow(_ringer(size, None), schema).join(keys, "key", "left_semi")
-    return found.groupBy("key").agg(F.first("parts").alias("parts"))
+        keys = F.broadcast(keys)
+    wanted = texts.mapInArrow(_text_keyer(size), "key long, _text string").join(keys, "key", "left_semi")
+    return wanted.mapInArrow(_ringer(size), "key long, parts array<long>").groupBy("key").agg(F.first("parts").alias("parts"))
 
 
 def _hot_pairs(hot: DataFrame, texts: DataFrame, size: int, tenths: int) -> DataFrame:
