@@ -37,6 +37,7 @@ from corpuskiln.session import durable
 
 RUN = 4
 SMALL = 10
+SKETCH = 256
 ANCHORS = 12
 #: Variants that more texts share than this are refined by an exact prefix filter.
 HOT = 256
@@ -45,6 +46,7 @@ BROADCAST_KEYS = 500_000
 
 _BITS = np.uint64(48)
 _TEXTS = 65_536
+_SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,7 +116,21 @@ def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> tuple[np.
             v = [whole - members[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), left_out)]
             out_v.append(_mix(np.array(v, dtype=np.uint64) + np.uint64(1)))
             out_o.append(np.full(len(v), owner[s]))
-    return np.concatenate(out_v), np.concatenate(out_o)
+    variant, owner = np.concatenate(out_v), np.concatenate(out_o)
+    order = np.argsort(owner, kind="stable")  # equal keys lie together and compress in the shuffle
+    return variant[order], owner[order]
+
+
+def sketches(value: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """Of each text, the parities of its shingles in SKETCH buckets, as 64-bit words.
+
+    Two texts' sketches differ in at most as many bits as their sets differ in
+    elements, so a pair whose sketches differ in more than its similarity
+    allows is safely no link.
+    """
+    bucket = (value >> np.uint64(40)) % np.uint64(SKETCH)
+    parity = np.bincount(owner * SKETCH + bucket.astype(np.int64), minlength=count * SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(count, SKETCH // 64, 64), axis=2).view(np.int64).reshape(count, SKETCH // 64)
 
 
 def _long_enough(column: pa.Array, size: int) -> tuple[np.ndarray, list[list[bytes]]]:
@@ -125,10 +141,16 @@ def _long_enough(column: pa.Array, size: int) -> tuple[np.ndarray, list[list[byt
 
 def _keyer(size: int):
     def key(batches):
+        hashes = _WordHashes()
         for batch in batches:
             at, words = _long_enough(batch.column(2), size)
-            kept = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(text_keys(words))], names=["_id", "_version", "key"])
+            for i in range(0, len(words), _TEXTS):
+                part = words[i : i + _TEXTS]
+                value, owner = ring(part, size, hashes)
+                kept = batch.take(pa.array(at[i : i + _TEXTS]))
+                sketch = [pa.array(c) for c in sketches(value, owner, len(part)).T.copy()]
+                sizes = pa.array(np.bincount(owner, minlength=len(part)))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(text_keys(part)), sizes, *sketch], names=["_id", "_version", "key", "n", *_SKETCH])
 
     return key
 
@@ -179,6 +201,20 @@ def _rings(texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(_ringer(size), "key long, parts array<long>").groupBy("key").agg(F.first("parts").alias("parts"))
 
 
+def _close(pairs: DataFrame, sketched: DataFrame, tenths: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow the similarity."""
+    a = sketched.select(F.col("key").alias("key_a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in _SKETCH])
+    b = sketched.select(F.col("key").alias("key_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in _SKETCH])
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
+    return (
+        pairs.join(a, "key_a")
+        .join(b, "key_b")
+        .where((F.col("n_a") * 10 >= F.col("n_b") * tenths) & (F.col("n_b") * 10 >= F.col("n_a") * tenths))
+        .where(apart * (10 + tenths) <= (F.col("n_a") + F.col("n_b")) * (10 - tenths))
+        .select("key_a", "key_b")
+    )
+
+
 def _hot_pairs(hot: DataFrame, texts: DataFrame, size: int, tenths: int) -> DataFrame:
     """Exact candidate pairs among the texts of too common variants: prefix filtering, rarest shingle first.
 
@@ -229,8 +265,9 @@ def linked_texts(
     versions = F.col(version_col) if version_col else F.lit(0)
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), versions.alias("_version"), F.col(text_col).alias("_text"))
     kinds = dict(rows.dtypes)
-    keyed = rows.mapInArrow(_keyer(size), f"_id {kinds['_id']}, _version {kinds['_version']}, key long")
+    keyed = durable(rows.mapInArrow(_keyer(size), f"_id {kinds['_id']}, _version {kinds['_version']}, key long, n long, " + ", ".join(f"{c} long" for c in _SKETCH)))
     members = keyed.groupBy("_id").agg(F.max(F.struct("_version", "key"))["key"].alias("key"))
+    sketched = keyed.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)])
     balls = texts.mapInArrow(_emitter(size, anchors), "variant long, key long")
     group = Window.partitionBy("variant")
     shared = (
@@ -251,7 +288,7 @@ def linked_texts(
     many = shared.where(F.col("n") > hot)
     if not many.isEmpty():
         met = met.unionByName(_hot_pairs(many, texts, size, tenths))
-    pairs = durable(met.distinct())
+    pairs = durable(_close(met.distinct(), sketched, tenths))
     keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
     sets = durable(_rings(texts, durable(keys), size))
     a = sets.select(F.col("key").alias("key_a"), F.col("parts").alias("parts_a"))
