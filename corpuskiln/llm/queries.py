@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import near_duplicates
+from corpuskiln.llm import leakage, near_duplicates, pairs, residue
 from corpuskiln.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, folder, "test_tax_form_instructions_qa_pairs"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, folder, "chunks"), version_col="ingested_at", size=3, tenths=7)
 
@@ -18,9 +22,34 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, folder, "chunks"), version_col="ingested_at")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_cases"))
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged word spans to be removed from each document."""
+    return leakage.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_cases"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_groups, p8_found, p8_spans, p9_found)}
+
+
+_WORDS = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+
+def _windows(length: int, source: str, keys: str, text: str) -> str:
+    words = _WORDS.format(text)
+    return f"SELECT DISTINCT {keys}, array_to_string(w[i:i + {length - 1}], ' ') AS phrase FROM (SELECT {keys}, {words} AS w FROM {source} WHERE {text} IS NOT NULL), LATERAL (SELECT unnest(range(1, len(w) - {length - 2})) AS i)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p8_found": f"""WITH docs AS ({_windows(13, "documents", "doc_id", "text")}),
+items AS ({_windows(13, "eval_cases", "item_id", "question")} UNION {_windows(13, "eval_cases", "item_id", "context")})
+SELECT DISTINCT item_id, doc_id FROM items JOIN docs USING (phrase)""",
+    }
