@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuskiln.llm import leakage, near_duplicates, pairs, residue
+from corpuskiln.llm import leakage, near_duplicates, packing, pairs, residue, scans
 from corpuskiln.session import table
 
 
@@ -22,6 +23,25 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, folder, "chunks"), version_col="ingested_at")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noise(table(spark, folder, "chunks"))
+
+
+def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The running text of each PDF chunk and what was wrong in it."""
+    rows = scans.repaired(table(spark, folder, "chunks"))
+    return rows.withColumn("noise", F.array_join("noise", ","))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), table(spark, folder, "token_budgets"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.waste(p7_packed(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_cases"))
 
@@ -36,7 +56,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_groups, p8_found, p8_spans, p9_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_groups, p5_found, p5_repaired, p7_packed, p7_fill, p8_found, p8_spans, p9_found)}
 
 
 _WORDS = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
