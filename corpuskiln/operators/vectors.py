@@ -32,7 +32,8 @@ def hashing_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 def embedded(df: DataFrame, text_col: str, into: str, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """Add a unit vector of each text, in Arrow batches; `embed` is loaded once a worker. Null texts embed like ''."""
-    position = df.columns.index(text_col)
+    names = [*df.columns, into]
+    position = names.index(text_col)
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{into}` array<float>"
 
     def work(batches):
@@ -40,7 +41,7 @@ def embedded(df: DataFrame, text_col: str, into: str, embed: Callable[[list[str]
             vectors = embed([t or "" for t in batch.column(position).to_pylist()])
             flat = pa.array(np.ascontiguousarray(vectors, np.float32).reshape(-1))
             offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*df.columns, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)], names=names)
 
     return df.mapInArrow(work, schema)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.plans import records
+from corpuskiln.plans import records, reference
 
-_MODULES = (records,)
+_MODULES = (records, reference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
