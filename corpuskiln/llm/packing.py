@@ -116,7 +116,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> pd.DataFrame:
     return pd.DataFrame({"container": containers, "doc_id": owners, "piece": pieces, "n_tokens": tokens})
 
 
-def _pack_shard(key, group: pd.DataFrame) -> pd.DataFrame:
+def _pack_shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["_order", "doc_id"])
     packed = pack(group["doc_id"].to_numpy(), group["n_tokens"].to_numpy(), int(key[0]))
     return packed.assign(capacity_tokens=np.int32(key[0]), shard=np.int64(key[1]))[["capacity_tokens", "shard", "container", "doc_id", "piece", "n_tokens"]]

@@ -109,7 +109,7 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.int64()), pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
 
-def _sum_cells(key, group: pd.DataFrame) -> pd.DataFrame:
+def _sum_cells(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CELLS // SEGMENTS, np.int64)
     for blob in group["cells"]:
         total += np.frombuffer(zlib.decompress(blob), np.int64)
