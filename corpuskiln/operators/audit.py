@@ -54,7 +54,7 @@ def require_coverage(report: DataFrame) -> None:
         raise CoverageError(f"{row['n_disconnected']} sources are disconnected, {row['n_short_of_links']} have too few links")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """section_id, community_id by label propagation on the undirected graph.
 
     Each round half of the nodes (by hash and round) takes the label most
@@ -64,6 +64,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFra
     """
     links = durable(undirected(edges))
     labels = nodes.select(F.col("section_id").alias("a"), F.col("section_id").alias("label"))
+    quiet = 0
     for r in range(rounds):
         votes = links.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         most = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("_label"))
@@ -71,7 +72,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFra
         fresh = durable(labels.join(most, "a", "left").select("a", F.when(turn | F.lit(r == 0), F.coalesce("_label", "label")).otherwise(F.col("label")).alias("label")))
         changed = fresh.withColumnRenamed("label", "_new").join(labels, "a").where("_new <> label").limit(1).count()
         labels = fresh
-        if not changed and r:
+        quiet = 0 if changed else quiet + 1
+        if quiet == 2:  # neither half moved
             break
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("a").alias("least"))
     ids = sizes.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1)
