@@ -64,7 +64,7 @@ _FILLER = re.compile(
 _EXAMPLES = (
     ("filler", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua nulla porta morbi ornare ultra fusca velum"),
     ("filler", "To be written."), ("filler", "Coming soon."), ("filler", "Content pending."), ("filler", "[text]"), ("filler", "(copy)"), ("filler", "xxxxx xxxx xxxxxx"),
-    ("filler", "asdf qwer blah blah asdf test test 123 xxx xxx"), ("filler", "Intro TK."), ("filler", "TK TK."), ("filler", "Placeholder paragraph: write two sentences later."), ("filler", "The section is to come. TK TK."),
+    ("filler", "asdf qwer blah blah asdf test test 123 xxx xxx"), ("filler", "Intro TK."), ("filler", "TK TK."), ("filler", "Placeholder paragraph: write two sentences later."),
     ("filler", "This is a dummy paragraph. Replace it before publishing."), ("filler", "Text to follow once it has been drafted by the editors."), ("filler", "Your content here."),
     ("error_page", "404 Not Found"), ("error_page", "The page you requested could not be located."), ("error_page", "500 Internal Server Error"), ("error_page", "403 Access denied. You do not have permission to view this page."),
     ("error_page", "503 Service Temporarily Unavailable"), ("error_page", "Fatal error: Uncaught Exception"), ("error_page", "Error establishing a database connection"), ("error_page", "This document is no longer available."),

@@ -37,7 +37,9 @@ LEXICON = 100_000
 CELLS = 1 << 21
 SEGMENTS = 64
 #: Probability that a character group is misread as one of its confusions.
-CONFUSION = 0.01
+CONFUSION = 0.03
+#: What a form with signs or digits inside counts as: it is no word, however often it occurs.
+NO_WORD = 0.001
 _ALL = (1 << 64) - 1
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿﬀ-ﬆ"
@@ -130,8 +132,10 @@ class Channel:
         self.hashes = _Hashes()
 
     def frequency(self, word: str) -> float:
-        """Occurrences; a form with signs or digits in it is no word, however often it occurs."""
-        return self.words.get(word, 0.5) if word == "#" or word.isascii() and word.replace("-", "").replace("'", "").isalpha() else 0.5
+        """Occurrences beside the one at hand."""
+        if word == "#" or word.isascii() and word.replace("-", "").replace("'", "").isalpha():
+            return max(self.words.get(word, 0) - 1.0, 0.5)
+        return NO_WORD
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """True words that may have been misread as `word`, with the log of the confusions' probability."""
@@ -159,6 +163,7 @@ class Channel:
         return float(min(self.pairs[(x >> 32) % half], self.pairs[(x & 0xFFFFFFFF) % half + half]))
 
     def likelihood(self, before: str, word: str) -> float:
+        """The log of the word's probability after another, drawn toward its overall frequency."""
         own, n = self.frequency(word), self.frequency(before) if before else 1.0
         both = 0.0
         if len(self.pairs) and own > 1:
