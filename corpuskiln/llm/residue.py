@@ -20,6 +20,7 @@ empty table nothing is found. Foreign and unknown words weigh for no class.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -58,9 +59,11 @@ _SCRIPT = re.compile(
     re.I,
 )
 _FILLER = re.compile(
-    r"\blorem ipsum\b|\bdolor (?:sit )?amet\b|\b(?:asdf|qwer(?:ty)?) |\bto be written\b|\bcoming soon\b|\bcontent pending\b|^\[text\]$|^\(copy\)$|\bx{4,} x{4,}|\bTK TK\b|\bplaceholder (?:paragraph|text)\b|\b(?:test ){3,}|\bdummy (?:paragraph|text)\b|\b(?:before|prior to) publish|\btext to follow\b|\byour (?:content|text) here\b|\bdrafted by\b.{0,20}\beditors\b",
+    r"\blorem ipsum\b|\bdolor (?:sit )?amet\b|\b(?:asdf|qwer(?:ty)?) |\bto be written\b|\bcoming soon\b|\bcontent pending\b|^\[text\]$|^\(copy\)$|\bx{4,} x{4,}|\bTK TK\b|\bplaceholder (?:paragraph|text)\b|\b(?:test ){3,}|\bdummy (?:paragraph|text)\b|\b(?:before|prior to) publish|\btext to follow\b|\byour (?:content|text) here\b|\btext goes here\b|\bdrafted by\b.{0,20}\beditors\b",
     re.I,
 )
+#: Words of the usual dummy Latin (fixed values); three different ones mark a trusted passage.
+_LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore aliqua nulla morbi porta ornare fusce vestibulum pulvinar".split())
 _EXAMPLES = (
     ("filler", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua nulla porta morbi ornare ultra fusca velum"),
     ("filler", "To be written."), ("filler", "Coming soon."), ("filler", "Content pending."), ("filler", "[text]"), ("filler", "(copy)"), ("filler", "xxxxx xxxx xxxxxx"),
@@ -91,7 +94,7 @@ def _cut(texts: list[str]) -> tuple[list[int], list[list[bytes]], list[bool], li
             cut.append(FIELD.sub(" ", p) if field else p)
     words = split_words(cut)
     for w, field in zip(words, fields):
-        if 1 < len(w) <= 6:  # a short message is also known as a whole
+        if 0 < len(w) <= 6:  # a short message is also known as a whole
             w.append(b"\x02" + b" ".join(w))
         if field:
             w.append(_SLOT)
@@ -103,7 +106,10 @@ def trusted_kind(text: str) -> int:
     if len(text) > 600:
         return -1
     lines = passages(text)
-    found = [3 if _ERROR.search(p) else 4 if _SCRIPT.search(p) else 2 if _FILLER.search(p) else 0 for p in lines]
+    found = [3 if _ERROR.search(p) else 4 if _SCRIPT.search(p) else 2 if _FILLER.search(p) or len(_LATIN & set(re.findall("[a-z]+", p.lower()))) > 2 else 0 for p in lines]
+    most, often = Counter(lines).most_common(1)[0] if lines else ("", 0)
+    if often >= 3 and often * 5 >= len(lines) * 3 and len(most.split()) <= 6:  # one short sentence over and over
+        found = [2 if p == most and not k else k for p, k in zip(lines, found)]
     kinds = {k for k in found if k}
     plain = sum(len(p) for p, k in zip(lines, found) if not k and len(p.split()) > 9)
     return kinds.pop() if len(kinds) == 1 and not plain else -1
@@ -114,6 +120,8 @@ def fit(texts: list[str], rounds: int = ROUNDS) -> dict[bytes, np.ndarray]:
     texts = [*texts, *(t for _, t in _EXAMPLES)]
     own = [trusted_kind(t) for t in texts[: -len(_EXAMPLES)]] + [KINDS.index(k) for k, _ in _EXAMPLES]
     owners, words, fields, cut = _cut(texts)
+    first = list({(o, p): i for i, (o, p) in enumerate(zip(owners, cut))}.values())  # a passage counts once a record
+    owners, words, fields = [owners[i] for i in first], [words[i] for i in first], [fields[i] for i in first]
     vocabulary: dict[bytes, int] = {}
     lists = [[vocabulary.setdefault(w, len(vocabulary)) for w in set(ws)] for ws in words]
     counts = np.array([len(x) for x in lists], dtype=np.int64)
@@ -155,15 +163,14 @@ class Scorer:
         # A field is as telling in a long passage as in a short one, so its own evidence decides.
         self.field_alone = bool(_SLOT not in self.numbers or self.table[self.numbers[_SLOT], 0] + self.prior[0] > 0)
 
-    def classes(self, words: list[list[bytes]]) -> np.ndarray:
+    def scores(self, words: list[list[bytes]]) -> np.ndarray:
+        """Log-odds of each passage for the four kinds against content."""
         lists = [set(w) for w in words]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         get = self.numbers.get
         ids = np.fromiter((get(w, 0) for w in chain.from_iterable(lists)), np.int64, int(counts.sum()))
         row = np.repeat(np.arange(len(lists)), counts)
-        score = np.stack([np.bincount(row, weights=self.table[ids, k], minlength=len(lists)) for k in range(4)], axis=1) + self.prior
-        best = score.argmax(axis=1)
-        return np.where(score[np.arange(len(best)), best] > 0, best + 1, 0)
+        return np.stack([np.bincount(row, weights=self.table[ids, k], minlength=len(lists)) for k in range(4)], axis=1) + self.prior
 
     def kinds(self, texts: list[str]) -> np.ndarray:
         """Class of each record, 0 for content."""
@@ -172,7 +179,9 @@ class Scorer:
         if not owners:
             return found
         owner = np.array(owners)
-        kind = self.classes(words)
+        score = self.scores(words)
+        best = score.argmax(axis=1)
+        kind = np.where(score[np.arange(len(best)), best] > 0, best + 1, 0)
         size = np.array([max(1, len(w)) for w in words])
         heading = np.array([p.rstrip()[-1:] not in ".!?:;。！？" and (len(p.split()) <= 9 or " > " in p or " | " in p) for p in cut])
         weight = np.stack([np.bincount(owner, weights=size * (kind == k), minlength=len(texts)) for k in range(5)], axis=1)
@@ -181,7 +190,9 @@ class Scorer:
         longest = np.zeros(len(texts))
         np.maximum.at(longest, owner, size * (kind == 2))
         message = weight[:, 3] + weight[:, 4]
-        found = np.where(message > sentences, np.where(weight[:, 3] >= weight[:, 4], 3, 4), found)
+        # Menus and footers go with either kind of message, so the passages' evidence and not their length tells which it is.
+        error, script = (np.bincount(owner, weights=score[:, k - 1] * (kind >= 3), minlength=len(texts)) for k in (3, 4))
+        found = np.where(message > sentences, np.where(error >= script, 3, 4), found)
         filler = (longest >= self.least) | (weight[:, 2] * 3 > sentences)
         found = np.where(filler & (weight[:, 2] >= message), 2, found)
         return np.where(field, 1, found)
