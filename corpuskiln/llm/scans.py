@@ -10,8 +10,8 @@ the product of character confusion probabilities and bigram likelihood picks
 one candidate a word.
 
 Before that, printed page numbers and running headers are taken from the
-lines, and words divided at a line end are joined if the joined word, not the
-hyphenated one, is known. What was wrong is reported by kind.
+lines, and words divided at a line end are joined, with a hyphen where the
+hyphenated word is the known one. What was wrong is reported by kind.
 """
 
 from __future__ import annotations
@@ -220,7 +220,7 @@ _TERMINAL = re.compile(r"[.!?:;][\"'”’)\]]*\s*$")
 
 def _keep_digits(text: str) -> str:
     """The skeleton of a line in which whole numbers stay as they are."""
-    return re.sub(r"\S+", lambda m: m.group() if re.fullmatch(r"[\W\d]*\d[\W\d]*[A-Za-z]?\W*", m.group()) else skeleton(m.group()), text)
+    return re.sub(r"\S+", lambda m: m.group().lower() if re.fullmatch(r"[\W\d]*\d[\W\d]*[A-Za-z]?\W*", m.group()) else skeleton(m.group()), text)
 
 
 def page_number(line: str, lines: list[str], at: int, first: int, last: int) -> bool:
@@ -279,7 +279,8 @@ def joined(text: str, channel: Channel) -> tuple[str, bool]:
         if not whole and not compound and not broken:
             return m.group(0)
         if compound > 2 and compound >= channel.words.get((left + right).lower(), 0):
-            return f"{left}-{right}\n" if broken else m.group(0)
+            seen = True
+            return f"{left}-{right}" + ("\n" if broken else " ")
         if whole or not (channel.words.get(left.lower(), 0) > 2 and channel.words.get(right.lower(), 0) > 2):
             seen = True
             return left + right + ("\n" if broken else " ")

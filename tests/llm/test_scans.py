@@ -48,7 +48,7 @@ def test_misread_words(channel, text, clean):
     assert work(channel, text) == (clean, ["misread"])
 
 
-@pytest.mark.parametrize("text, kind", [("keep the distri-\nbution now", True), ("keep the distri¬\nbution now", True), ("keep the distri­\nbution now", True), ("keep the distri- bution now", True), ("the long-\nterm form", False), ("short- and long-term", False), ("Form 7390-\nEX and line", False), ("filers – but not both", False)])
+@pytest.mark.parametrize("text, kind", [("keep the distri-\nbution now", True), ("keep the distri¬\nbution now", True), ("keep the distri­\nbution now", True), ("keep the distri- bution now", True), ("short- and long-term", False), ("Form 7390-\nEX and line", False), ("filers – but not both", False)])
 def test_hyphenation(channel, text, kind):
     got, noise = work(channel, text)
     assert ("hyphenation" in noise) is kind
@@ -56,6 +56,11 @@ def test_hyphenation(channel, text, kind):
         assert got == "keep the distribution now"
 
 
+def test_a_compound_divided_at_its_hyphen_keeps_it(channel):
+    assert work(channel, "a long-\nterm gratuity") == ("a long-term gratuity", ["hyphenation"])
+    assert work(channel, "a long-term gratuity and year-end total") == ("a long-term gratuity and year-end total", [])
+
+
 @pytest.mark.parametrize("line, found", [("16", True), ("17.", True), ("- 16 -", True), ("— 16 —", True), ("[16]", True), ("Page 16", True), ("Pg. 16", True), ("P a g e  16", True), ("page 16 of 59", True), ("45", False), ("2. Divide it by 16.", False), ("16 copies", False)])
 def test_page_numbers(channel, line, found):
     got, noise = work(channel, f"Enter the penalty on line 3 of the form.\n{line}\nKeep the ledger.")
