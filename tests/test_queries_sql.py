@@ -1,0 +1,32 @@
+"""Every registered query of the core runs over the smallest tables; those with SQL give the same rows."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+from corpuskiln.plans import queries as core
+from tests.compare import difference, duck
+
+FOLDER = "/root/testdata/sf0.001"
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(core.queries()))
+def test_query(spark, con, name):
+    df, sql = core.queries()[name](spark, FOLDER), core.oracle_sql().get(name)
+    if sql:
+        assert difference(df, sql, con) == ""
+    else:
+        assert df.count() > 0
+
+
+def test_every_sql_has_a_query():
+    assert set(core.oracle_sql()) <= set(core.queries())
