@@ -212,7 +212,7 @@ def hybrid_merge(spark: SparkSession, folder: str) -> DataFrame:
     rows, asked = _vectors(spark, folder)
     v = vectors.top_k(rows, asked, 20).select("query_id", F.concat(F.lit("v"), F.col("item").cast("string")).alias("section_id"), F.round("score", 4).alias("vector_score"))
     labels = rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).where("query_id % 100 = 0")
-    g = rows.join(F.broadcast(labels), F.col("label") == F.col("l")).where("vec_id % 7 = 0").select("query_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("section_id"), (0.3 + (F.col("vec_id") % 5) * 0.1).alias("graph_score"))
+    g = rows.join(labels, F.col("label") == F.col("l")).where("vec_id % 7 = 0").select("query_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("section_id"), (0.3 + (F.col("vec_id") % 5) * 0.1).alias("graph_score"))
     queries = asked.select("query_id", F.when(F.col("query_id") % 200 == 0, F.lit("see section 32")).otherwise(F.lit("no citation here")).alias("text"))
     merged = retrieval.merged_hits(queries, v, g, 10)
     return merged.withColumn("score", F.round("score", 4)).select("query_id", "section_id", "rank", "score")
