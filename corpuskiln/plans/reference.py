@@ -207,15 +207,37 @@ def dual_topk(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.dual_top_k(both, asked, 10).withColumn("score", F.round("score", 4))
 
 
+def _blended(asked: DataFrame, v: DataFrame, g: DataFrame) -> DataFrame:
+    queries = asked.select("query_id", F.when(F.col("query_id") % 200 == 0, F.lit("see section 32")).otherwise(F.lit("no citation here")).alias("text"))
+    merged = retrieval.merged_hits(queries, v, g, 10)
+    return merged.withColumn("score", F.round("score", 4)).select("query_id", "section_id", "rank", "score")
+
+
 def hybrid_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Vector hits blended with scores of the query's own label group."""
+    """Vector hits blended with scores of every seventh row of the query's own label group, as its SQL has it."""
     rows, asked = _vectors(spark, folder)
     v = vectors.top_k(rows, asked, 20).select("query_id", F.concat(F.lit("v"), F.col("item").cast("string")).alias("section_id"), F.round("score", 4).alias("vector_score"))
     labels = rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).where("query_id % 100 = 0")
     g = rows.join(labels, F.col("label") == F.col("l")).where("vec_id % 7 = 0").select("query_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("section_id"), (0.3 + (F.col("vec_id") % 5) * 0.1).alias("graph_score"))
-    queries = asked.select("query_id", F.when(F.col("query_id") % 200 == 0, F.lit("see section 32")).otherwise(F.lit("no citation here")).alias("text"))
-    merged = retrieval.merged_hits(queries, v, g, 10)
-    return merged.withColumn("score", F.round("score", 4)).select("query_id", "section_id", "rank", "score")
+    return _blended(asked, v, g)
+
+
+def hybrid_merge_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Vector hits blended with scores of all rows of the query's own label group.
+
+    Queries of a label share its graph hits, so a label's best rows are ranked once. Of them
+    10 + 20 are enough: 20 at most are vector hits too, and no row after 10 others can come in
+    by its graph score alone. Vector hits of the query's label get their scores by a join.
+    """
+    rows, asked = _vectors(spark, folder)
+    v = durable(vectors.top_k(rows, asked, 20).select("query_id", F.concat(F.lit("v"), F.col("item").cast("string")).alias("section_id"), F.round("score", 4).alias("vector_score")))
+    labels = rows.where("vec_id % 100 = 0 and label is not null").select(F.col("vec_id").alias("query_id"), "label")
+    scored = rows.where("label is not null").select("label", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("section_id"), (0.3 + (F.col("vec_id") % 5) * 0.1).alias("graph_score")).distinct()
+    order = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("graph_score"), "section_id"))
+    best = scored.withColumn("_n", order).where("_n <= 30").drop("_n")
+    alone = best.join(labels, "label").select("query_id", "section_id", "graph_score")
+    both = scored.join(v.join(labels, "query_id").select("query_id", "section_id", "label"), ["label", "section_id"]).select("query_id", "section_id", "graph_score")
+    return _blended(asked, v, alone.unionByName(both))
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,7 +340,7 @@ QUERIES = {
     for f in (
         usc_refs, irs_refs, query_refs, canonical_ids, ref_match_scores, source_counts, format_counts, source_precedence, sentence_split, chunk_greedy, slide_windows, page_lines, page_chunks, chunk_ids,
         node_last_write, prefix_index, graph_edges, representatives, inferred_sections, inferred_pairs, linked_edges, curated_coverage, bfs_hops, components, audit_sources, audit_report, communities,
-        degree_top_subgraph, topic_overlap, vector_topk, dual_topk, hybrid_merge, entry_nodes, hybrid_topk, retrieval_metrics, citation_metrics, rubric_totals, mode_summary, mode_deltas, case_winners,
+        degree_top_subgraph, topic_overlap, vector_topk, dual_topk, hybrid_merge, hybrid_merge_whole, entry_nodes, hybrid_topk, retrieval_metrics, citation_metrics, rubric_totals, mode_summary, mode_deltas, case_winners,
         judge_replies, answer_labels, prompt_assembly,
     )
 }
@@ -411,6 +433,11 @@ SELECT item_id, section_id, n, place FROM (SELECT *, row_number() OVER (PARTITIO
 g AS (SELECT q.vec_id AS query_id, 'v' || i.vec_id AS section_id, 0.3 + (i.vec_id % 5) * 0.1 AS gs FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0 AND i.vec_id % 7 = 0),
 m AS (SELECT query_id, section_id, vs IS NULL AS only_g, CASE WHEN query_id % 200 = 0 THEN 0.35::DOUBLE ELSE 0.6::DOUBLE END AS al, coalesce(vs, 0.0)::DOUBLE AS vs, coalesce(gs, 0.0)::DOUBLE AS gs FROM v FULL JOIN g USING (query_id, section_id)),
 s AS (SELECT query_id, section_id, only_g, al * vs + (1 - al) * gs AS score FROM m)
+SELECT query_id, section_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, only_g, section_id) AS rank FROM s) WHERE rank <= 10""",
+    "hybrid_merge_whole": f"""WITH {_TOP}, v AS (SELECT query_id, 'v' || item AS section_id, round(s, 4) AS vs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS n FROM top) WHERE n <= 20),
+g AS (SELECT q.vec_id AS query_id, 'v' || i.vec_id AS section_id, 0.3 + (i.vec_id % 5) * 0.1 AS gs FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0),
+m AS (SELECT query_id, section_id, vs IS NULL AS only_g, CASE WHEN query_id % 200 = 0 THEN 0.35::DOUBLE ELSE 0.6::DOUBLE END AS al, coalesce(vs, 0.0)::DOUBLE AS vs, coalesce(gs, 0.0)::DOUBLE AS gs FROM v FULL JOIN g USING (query_id, section_id)),
+s AS (SELECT query_id, section_id, only_g, al * vs + (1 - al) * gs AS score FROM m)
 SELECT query_id, section_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, only_g, section_id) AS rank FROM s) WHERE rank <= 10""",
     "retrieval_metrics": """WITH l AS (SELECT lower(label) AS label, row_number() OVER (ORDER BY label) - 1 AS n FROM source_labels),
 got AS (SELECT item_id, j + 1 AS rank, label FROM eval_cases, LATERAL (SELECT unnest(range(0, 10)) AS j) JOIN l ON (item_id * 7 + j * 5) % 44 = n),
