@@ -1,11 +1,12 @@
 """Repair of text from scanned pages by noisy-channel decoding.
 
 One pass over all texts counts words and adds adjacent word pairs to a sketch
-of fixed size (a corpus bigram model). The lexicon is the `lexicon` most
-frequent words, a bound that is broadcast with the sketch. An observed word
-and a true one are confusable if they have the same skeleton, a form in which
-every misreading of the confusion table looks alike, so candidates are looked
-up and not searched for. Each line with a doubtful word is decoded by Viterbi:
+of fixed size (a corpus bigram model). The lexicon is all words: the `lexicon`
+most frequent ones are broadcast with the sketch, and a page's words beyond
+them get their counts and candidates by a join. An observed word and a true
+one are confusable if they have the same skeleton, a form in which every
+misreading of the confusion table looks alike, so candidates are looked up and
+not searched for. Each line with a doubtful word is decoded by Viterbi:
 the product of character confusion probabilities and bigram likelihood picks
 one candidate a word.
 
@@ -68,6 +69,10 @@ def tokens(text: str) -> list[str]:
     return [t if not t[0].isdigit() or any(c.isalpha() for c in t) else "#" for t in _TOKEN.findall(text.lower())]
 
 
+def _seen(token: str) -> str:
+    return token.lower() if not token[0].isdigit() or any(c.isalpha() for c in token) else "#"
+
+
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh32_intdigest(word)
@@ -121,35 +126,61 @@ def _sum_cells(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 class Channel:
     """The noisy channel: lexicon, confusions and bigram likelihood."""
 
-    def __init__(self, words: dict[str, int], pairs: np.ndarray, confusion: float = CONFUSION):
+    def __init__(self, words: dict[str, int], pairs: np.ndarray, confusion: float = CONFUSION, total: int | None = None):
         self.words, self.pairs, self.confusion = words, pairs, confusion
-        self.total = max(1, sum(words.values()))
-        self.index: dict[str, list[str]] = {}
-        for w, n in words.items():
-            if n > 1 and len(w) > 1 and w.replace("-", "").replace("'", "").replace("’", "").isalpha() and w.isascii():
-                self.index.setdefault(skeleton(w), []).append(w)
+        self.total = max(1, sum(words.values()) if total is None else total)
+        self.index = self._by_skeleton(words)
+        self.rare: dict[str, int] = {}
+        self.rare_index: dict[str, list[str]] = {}
         self.known: dict[str, list[tuple[str, float]]] = {}
         self.hashes = _Hashes()
 
+    @staticmethod
+    def _by_skeleton(words: dict[str, int]) -> dict[str, list[str]]:
+        index: dict[str, list[str]] = {}
+        for w, n in words.items():
+            if n > 1 and len(w) > 1 and w.replace("-", "").replace("'", "").replace("’", "").isalpha() and w.isascii():
+                index.setdefault(skeleton(w), []).append(w)
+        return index
+
+    def look_up(self, rare: dict[str, int]) -> None:
+        """The words beyond `words` that the next text may need, most frequent first."""
+        self.rare, self.rare_index = rare, self._by_skeleton(rare)
+
+    def count(self, word: str) -> int:
+        return self.words.get(word) or self.rare.get(word, 0)
+
+    def alike(self, word: str) -> list[str]:
+        key = skeleton(word)
+        return [*self.index.get(key, ()), *self.rare_index.get(key, ())]
+
+    @staticmethod
+    def counted(word: str) -> bool:
+        """Whether a form's own count matters."""
+        return word == "#" or word.isascii() and word.replace("-", "").replace("'", "").isalpha()
+
+    @staticmethod
+    def readable(word: str) -> bool:
+        """Whether a form may be a misread word."""
+        letters = sum(c.isalpha() for c in word)
+        return len(word) > 1 and letters > 0 and not re.fullmatch(r"[#$]?\d[\d.,-]*[a-z]?[a-z]?|[\d-]+[a-z]{0,3}", word) and letters * 2 >= len(word)
+
     def frequency(self, word: str) -> float:
         """Occurrences beside the one at hand."""
-        if word == "#" or word.isascii() and word.replace("-", "").replace("'", "").isalpha():
-            return max(self.words.get(word, 0) - 1.0, 0.5)
-        return NO_WORD
+        return max(self.count(word) - 1.0, 0.5) if self.counted(word) else NO_WORD
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """True words that may have been misread as `word`, with the log of the confusions' probability."""
         found = self.known.get(word)
         if found is None:
             found = []
-            letters = sum(c.isalpha() for c in word)
-            if len(word) > 1 and letters and not re.fullmatch(r"[#$]?\d[\d.,-]*[a-z]?[a-z]?|[\d-]+[a-z]{0,3}", word) and letters * 2 >= len(word):
+            if self.readable(word):
                 own = self.frequency(word)
-                for w in self.index.get(skeleton(word), ()):
+                for w in self.alike(word):
                     if w != word:
                         blocks = sum(op[0] != "equal" for op in SequenceMatcher(None, word, w, autojunk=False).get_opcodes())
                         cost = blocks * math.log(self.confusion)
-                        if math.log(self.words[w]) + cost > math.log(own):
+                        if math.log(self.count(w)) + cost > math.log(own):
                             found.append((w, cost))
             if len(self.known) < 1_000_000:
                 self.known[word] = found
@@ -186,12 +217,20 @@ class Channel:
 
     def is_word(self, word: str) -> bool:
         word = word.lower()
-        return self.words.get(word, 0) > 2 or any(self.words[w] > 2 for w in self.index.get(skeleton(word), ()))
+        return self.count(word) > 2 or any(self.count(w) > 2 for w in self.alike(word))
+
+    def beyond(self, tokens: set[str], joins: set[str]) -> set[str]:
+        """Skeletons under which a text's tokens and joined words need more than `words`.
+
+        A frequent word needs none: one beyond `words` is never often enough to be its candidate.
+        """
+        needed = {w for w in tokens if (w not in self.words and self.counted(w)) or (not self.counted(w) and self.readable(w))}
+        return {skeleton(w) for w in needed | {w for w in joins if w not in self.words}}
 
     def repair(self, text: str) -> tuple[str, bool]:
         """A line with misread words put right, and whether there were any."""
         spans = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
-        line = [t.lower() if not t[0].isdigit() or any(c.isalpha() for c in t) else "#" for *_, t in spans]
+        line = [_seen(t) for *_, t in spans]
         if not any(self.candidates(w) for w in set(line)):
             return text, False
         decoded, out, at, changed = self.decode(line), [], 0, False
@@ -270,18 +309,18 @@ def joined(text: str, channel: Channel) -> tuple[str, bool]:
         broken = "\n" in gap
         if sign in "¬­":
             seen = True
-            hyphen = "-" if channel.words.get(f"{left}-{right}".lower(), 0) > 2 and not channel.is_word(left + right) else ""
+            hyphen = "-" if channel.count(f"{left}-{right}".lower()) > 2 and not channel.is_word(left + right) else ""
             return left + hyphen + right + ("\n" if broken else " ")
         if not any(c.islower() for c in right[:2]) and not left.isupper() or left.isdigit():
             return m.group(0)
-        compound = channel.words.get(f"{left}-{right}".lower(), 0)
+        compound = channel.count(f"{left}-{right}".lower())
         whole = channel.is_word(left + right)
         if not whole and not compound and not broken:
             return m.group(0)
-        if compound > 2 and compound >= channel.words.get((left + right).lower(), 0):
+        if compound > 2 and compound >= channel.count((left + right).lower()):
             seen = True
             return f"{left}-{right}" + ("\n" if broken else " ")
-        if whole or not (channel.words.get(left.lower(), 0) > 2 and channel.words.get(right.lower(), 0) > 2):
+        if whole or not (channel.count(left.lower()) > 2 and channel.count(right.lower()) > 2):
             seen = True
             return left + right + ("\n" if broken else " ")
         return m.group(0)
@@ -289,8 +328,30 @@ def joined(text: str, channel: Channel) -> tuple[str, bool]:
     return _DIVIDED.sub(join, text), seen
 
 
-def clean(text: str, label: str, first: int | None, last: int | None, channel: Channel) -> tuple[str, list[str]]:
-    """The repaired running text, and the kinds of noise that were in it."""
+def _forms(m: re.Match) -> tuple[str, str, str]:
+    """All that `joined` may make of a match."""
+    if m.group(4):
+        return (m.group(4) + m.group(5),) * 3
+    left, right, end = m.group(1), m.group(3), "\n" if "\n" in m.group(2) else " "
+    return m.group(0), left + right + end, f"{left}-{right}{end}"
+
+
+def asked(body: str, removed: list[str]) -> tuple[set[str], set[str]]:
+    """The tokens that a text may have once divided words are joined, and the words that `joined` looks up.
+
+    Every form holds a blank, so a token touches two neighbouring matches at most: all
+    pairs of forms of even and odd matches give every token.
+    """
+    divided = [m for m in _DIVIDED.finditer(body) if not m.group(4)]
+    place = {m.start(): i % 2 for i, m in enumerate(divided)}
+    pairs = [(a, b) for a in range(3) for b in range(3)] if divided else [(0, 0)]
+    texts = [_DIVIDED.sub(lambda m: _forms(m)[pair[place.get(m.start(), 0)]], body) for pair in pairs]  # noqa: B023
+    joins = {w.lower() for m in divided for w in (f"{m.group(1)}-{m.group(3)}", m.group(1) + m.group(3), m.group(1), m.group(3))}
+    return {_seen(t) for x in (*texts, *removed) for t in _TOKEN.findall(x)}, joins
+
+
+def running_text(text: str, label: str, first: int | None, last: int | None) -> tuple[str, list[str], set[str]]:
+    """The text without page numbers and running headers, the headers, and the kinds of noise so far."""
     found = set()
     low = min(x for x in (first, last, 10**9) if x is not None)
     high = max(x for x in (first, last, -1) if x is not None)
@@ -309,7 +370,13 @@ def clean(text: str, label: str, first: int | None, last: int | None, channel: C
                 removed.append(core)
                 continue
         kept.append(line)
-    body, divided = joined("\n".join(kept), channel)
+    return "\n".join(kept), removed, found
+
+
+def clean(text: str, label: str, first: int | None, last: int | None, channel: Channel) -> tuple[str, list[str]]:
+    """The repaired running text, and the kinds of noise that were in it."""
+    body, removed, found = running_text(text, label, first, last)
+    body, divided = joined(body, channel)
     if divided:
         found.add("hyphenation")
     out = []
@@ -324,13 +391,22 @@ def clean(text: str, label: str, first: int | None, last: int | None, channel: C
     return "\n\n".join(" ".join(p.split()) for p in paragraphs if p.strip()), sorted(found)
 
 
+def _label(section: str | None) -> str:
+    return (section or "").split(":")[0]
+
+
 def _cleaner(shared):
     def work(batches):
-        words, cells = shared.value
-        channel = Channel(words, cells)
+        words, cells, total = shared.value
+        channel = Channel(words, cells, total=total)
         for batch in batches:
-            ids, labels, firsts, lasts, texts = (c.to_pylist() for c in batch.columns)
-            done = [clean(t, (s or "").split(":")[0], a, z, channel) for s, a, z, t in zip(labels, firsts, lasts, texts)]
+            ids, labels, firsts, lasts, texts, *rare = (c.to_pylist() for c in batch.columns)
+            done = []
+            for i, (s, a, z, t) in enumerate(zip(labels, firsts, lasts, texts)):
+                if rare:
+                    found = {(r["word"], r["n"]) for r in rare[0][i] or ()}
+                    channel.look_up(dict(sorted(found, key=lambda r: (-r[1], r[0]))))
+                done.append(clean(t, _label(s), a, z, channel))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], names=["id", "text", "noise"]
             )
@@ -338,11 +414,44 @@ def _cleaner(shared):
     return work
 
 
+def _asker(shared):
+    """id, key: the skeletons under which a page needs words beyond the broadcast ones."""
+
+    def work(batches):
+        words, cells, total = shared.value
+        channel = Channel(words, cells, total=total)
+        for batch in batches:
+            ids, keys = [], []
+            for id_, s, a, z, t in zip(*(c.to_pylist() for c in batch.columns)):
+                body, removed, _ = running_text(t, _label(s), a, z)
+                found = sorted(channel.beyond(*asked(body, removed)))
+                keys += found
+                ids += [id_] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.string())], names=["id", "key"])
+
+    return work
+
+
+def _keyed(batches):
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([skeleton(w) for w in words], pa.string()), batch.column(0), batch.column(1)], names=["key", "word", "n"])
+
+
+def _top(counts: DataFrame, lexicon: int) -> list:
+    return counts.orderBy(F.desc("n"), "word").limit(lexicon).collect()
+
+
 def language_model(texts: DataFrame, lexicon: int = LEXICON) -> tuple[dict[str, int], np.ndarray]:
     """Counts of the most frequent words and the pair sketch, over all texts of a one-column table."""
+    counts, cells = _statistics(texts)
+    return {r[0]: r[1] for r in _top(counts, lexicon)}, cells
+
+
+def _statistics(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """word, n of all words, and the pair sketch."""
     counted = durable(texts.mapInArrow(_count, "word string, n long, segment int, cells binary"))
-    top = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(lexicon)
-    words = {r[0]: r[1] for r in top.collect()}
+    counts = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     parts = counted.where("segment is not null").select("segment", "cells", F.spark_partition_id().alias("_part"))
     ways = max(1, counted.rdd.getNumPartitions() // SEGMENTS)
     some = parts.withColumn("_way", F.col("_part") % ways).groupBy("segment", "_way").applyInPandas(_sum_cells, "segment int, cells binary")
@@ -351,20 +460,35 @@ def language_model(texts: DataFrame, lexicon: int = LEXICON) -> tuple[dict[str,
     width = CELLS // SEGMENTS
     for segment, blob in whole:
         cells[segment * width : (segment + 1) * width] = np.frombuffer(zlib.decompress(blob), np.int64)
-    return words, cells.clip(max=2**31 - 1).astype(np.int32)
+    return counts, cells.clip(max=2**31 - 1).astype(np.int32)
 
 
 def repaired(chunks: DataFrame, lexicon: int = LEXICON) -> DataFrame:
     """id, text, noise (array of kinds) for the newest row of each PDF chunk, i.e. with a page_start or page_end.
 
-    The corpus statistics cover all chunks' texts. Null and blank texts have no
-    noise; a null text stays null and is left out. An empty table gives an
-    empty result.
+    The corpus statistics cover all chunks' texts and all words; `lexicon` is how
+    many words are broadcast and has no effect on the result. Null and blank
+    texts have no noise; a null text stays null and is left out. An empty table
+    gives an empty result.
     """
-    model = language_model(chunks.select("text").where("text is not null"), lexicon)
-    shared = chunks.sparkSession.sparkContext.broadcast(model)
+    counts, cells = _statistics(chunks.select("text").where("text is not null"))
+    top = _top(counts, lexicon + 1)
+    whole = len(top) <= lexicon
+    top = top[:lexicon]
+    if whole:
+        total = sum(r[1] for r in top)
+    else:
+        counts = durable(counts)
+        total = counts.agg(F.sum("n")).first()[0]
+    shared = chunks.sparkSession.sparkContext.broadcast(({r[0]: r[1] for r in top}, cells, total))
     pages = newest(chunks.select("id", "section_id", "page_start", "page_end", "text", "ingested_at"), "id", "ingested_at")
     pages = pages.where("text is not null and (page_start is not null or page_end is not null)").select("id", "section_id", "page_start", "page_end", "text")
+    if not whole:
+        last = top[-1]
+        beyond = counts.where((F.col("n") < last[1]) | (F.col("n") == last[1]) & (F.col("word") > last[0]))
+        beyond = beyond.where((F.col("n") > 1) | F.contains("word", F.lit("-")))  # a single one counts as none, but for a compound
+        lists = pages.mapInArrow(_asker(shared), "id string, key string").join(beyond.mapInArrow(_keyed, "key string, word string, n long"), "key")
+        pages = pages.join(lists.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("rare")), "id", "left")
     return pages.mapInArrow(_cleaner(shared), "id string, text string, noise array<string>")
 
 

@@ -99,3 +99,13 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     assert words["penalty"] == 30
     # one pair a word, and one between two texts of a batch
     assert cells.sum() >= 2 * sum(len(S.tokens(t)) for t in [*CLEAN, "Enter the pena|ty\nPage 3", "old\nPage 3", "Keep the ledger.\nPage 4", "x"])
+
+
+@pytest.mark.parametrize("lexicon", [1, 12, 40])
+def test_words_beyond_the_broadcast_ones_count(spark, lexicon):
+    texts = [*CLEAN, "Enter the pena|ty and the residiial inter-\nest due.", "the with-\nholding and the perialty", "a long-\nterm house-\nhold's year-\nend", "a well-known\nfili- ers' an- d'co-\npies"]
+    rows = [(f"c{i}", "IRS Pub. 1: a", 3, 3, t, 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, section_id string, page_start int, page_end int, text string, ingested_at int")
+    want, got = ({r["id"]: (r["text"], r["noise"]) for r in S.repaired(df, n).collect()} for n in (S.LEXICON, lexicon))
+    assert got == want
+    assert got["c150"] == ("Enter the penalty and the residual interest due.", ["hyphenation", "misread"])
