@@ -11,3 +11,11 @@ def test_hybrid_merge_whole_takes_every_row_of_the_label(spark, tmp_path):
     found = core.queries()["hybrid_merge_whole"](spark, str(tmp_path)).collect()
     assert {"v44", "v54", "v64"} <= {r["section_id"] for r in found}  # none of them in seven steps
     assert [r["section_id"] for r in sorted(found, key=lambda r: r["rank"])][:5] == ["v0", "v44", "v49", "v54", "v64"]
+
+
+def test_page_chunks_keeps_every_section(spark, tmp_path):
+    rows = [("p17", 3, f"p17/page/3/section/{i:02d}", f"Line {i}\n" + f"Word{i} fills the section. " * 8) for i in range(1, 26)]
+    spark.createDataFrame(rows, "source string, page_start int, hierarchy string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("p17", "IRS Pub. 17")], "source string, label string").write.parquet(f"{tmp_path}/source_labels.parquet")
+    found = " ".join(r["text"] for r in core.queries()["page_chunks"](spark, str(tmp_path)).collect())
+    assert [i for i in range(1, 26) if f"Word{i} " not in found] == []
