@@ -328,20 +328,29 @@ def answer_labels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", text.final_answer(said).alias("answer"), text.predicted_label(said).alias("label"))
 
 
-def prompt_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    """The prompt block of each statute section's chunks."""
-    rows = table(spark, folder, "chunks").where("source = 'usc26' and text is not null and section_id is not null").select("hierarchy", "id", "section_id", "text").distinct()
+def _prompts(chunks: DataFrame) -> DataFrame:
+    rows = chunks.where("text is not null and section_id is not null").select("hierarchy", "id", "section_id", "text").distinct()
     hits = rows.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("id", "section_id", "text"))).alias("hits"))
     return hits.select("section_id", text.prompt(F.col("hits")).alias("prompt"))
 
 
+def prompt_assembly(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt block of each statute section's chunks, as its SQL has it."""
+    return _prompts(table(spark, folder, "chunks").where("source = 'usc26'"))
+
+
+def prompt_assembly_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt block of each section's chunks, of any source."""
+    return _prompts(table(spark, folder, "chunks"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         usc_refs, irs_refs, query_refs, canonical_ids, ref_match_scores, source_counts, format_counts, source_precedence, sentence_split, chunk_greedy, slide_windows, page_lines, page_chunks, chunk_ids,
         node_last_write, prefix_index, graph_edges, representatives, inferred_sections, inferred_pairs, linked_edges, curated_coverage, bfs_hops, components, audit_sources, audit_report, communities,
         degree_top_subgraph, topic_overlap, vector_topk, dual_topk, hybrid_merge, hybrid_merge_whole, entry_nodes, hybrid_topk, retrieval_metrics, citation_metrics, rubric_totals, mode_summary, mode_deltas, case_winners,
-        judge_replies, answer_labels, prompt_assembly,
+        judge_replies, answer_labels, prompt_assembly, prompt_assembly_whole,
     )
 }
 
@@ -451,4 +460,5 @@ SELECT item_id, round(coalesce(h, 0) / n, 4) AS recall_at_k, round(coalesce(1.0
     "judge_replies": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN round(value, 2) END AS earned, CASE WHEN event_id % 3 < 2 THEN 1.0 END AS total, CASE WHEN event_id % 3 < 2 THEN event_type END AS feedback, event_id % 3 = 2 AS failed FROM events",
     "answer_labels": f"SELECT event_id, nullif(trim(regexp_extract({_SAID}, '(?i)final\\s+answer\\s*:\\s*(.+)$', 1)), '') AS answer, (['entailment', 'contradiction', 'unknown', 'entailment', 'contradiction', 'contradiction', NULL])[CAST(event_id % 7 + 1 AS INTEGER)] AS label FROM events",
     "prompt_assembly": "SELECT section_id, string_agg('[' || section_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id, text) AS prompt FROM (SELECT DISTINCT hierarchy, id, section_id, text FROM chunks WHERE source = 'usc26' AND text IS NOT NULL AND section_id IS NOT NULL) GROUP BY section_id",
+    "prompt_assembly_whole": "SELECT section_id, string_agg('[' || section_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id, text) AS prompt FROM (SELECT DISTINCT hierarchy, id, section_id, text FROM chunks WHERE text IS NOT NULL AND section_id IS NOT NULL) GROUP BY section_id",
 }

@@ -19,3 +19,11 @@ def test_page_chunks_keeps_every_section(spark, tmp_path):
     spark.createDataFrame([("p17", "IRS Pub. 17")], "source string, label string").write.parquet(f"{tmp_path}/source_labels.parquet")
     found = " ".join(r["text"] for r in core.queries()["page_chunks"](spark, str(tmp_path)).collect())
     assert [i for i in range(1, 26) if f"Word{i} " not in found] == []
+
+
+def test_prompt_assembly_whole_takes_every_source(spark, tmp_path):
+    rows = [("usc26", "h", "1", "26 USC §1", "Tax."), ("p8417", "h", "2", "IRS Pub. 8417: a", "Two."), ("p8417", "h", "1", "IRS Pub. 8417: a", "One."), (None, "h", "3", "b", "None.")]
+    spark.createDataFrame(rows, "source string, hierarchy string, id string, section_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    found = {r["section_id"]: r["prompt"] for r in core.queries()["prompt_assembly_whole"](spark, str(tmp_path)).collect()}
+    assert set(found) == {"26 USC §1", "IRS Pub. 8417: a", "b"}
+    assert found["IRS Pub. 8417: a"].index("One.") < found["IRS Pub. 8417: a"].index("Two.")
