@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +60,10 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
     """section_id, community_id by label propagation on the undirected graph.
 
     Each round half of the nodes (by hash and round) takes the label most
-    frequent among its neighbours, of several the least; so labels cannot swing
-    between two states for ever. Ids count from 0 by size, then least member. A
-    deterministic stand-in for modularity maximization.
+    frequent among its neighbours, of several the least; so labels seldom swing
+    between two states for ever. After `rounds` it stops, settled or not, and warns
+    if not. Ids count from 0 by size, then least member. A deterministic stand-in
+    for modularity maximization.
     """
     links = durable(undirected(edges))
     labels = nodes.select(F.col("section_id").alias("a"), F.col("section_id").alias("label"))
@@ -75,6 +78,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
         quiet = 0 if changed else quiet + 1
         if quiet == 2:  # neither half moved
             break
+    else:
+        warnings.warn(f"communities not settled after {rounds} rounds", RuntimeWarning, stacklevel=2)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("a").alias("least"))
     ids = sizes.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1)
     return labels.join(ids.select("label", "community_id"), "label").select(F.col("a").alias("section_id"), "community_id")

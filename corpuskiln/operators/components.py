@@ -34,6 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

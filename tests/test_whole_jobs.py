@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
+
+from corpuskiln.operators import audit
+from corpuskiln.operators.components import connected_components
 from corpuskiln.plans import queries as core
 
 
@@ -27,3 +31,12 @@ def test_prompt_assembly_whole_takes_every_source(spark, tmp_path):
     found = {r["section_id"]: r["prompt"] for r in core.queries()["prompt_assembly_whole"](spark, str(tmp_path)).collect()}
     assert set(found) == {"26 USC §1", "IRS Pub. 8417: a", "b"}
     assert found["IRS Pub. 8417: a"].index("One.") < found["IRS Pub. 8417: a"].index("Two.")
+
+
+def test_unsettled_loops_say_so(spark):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "x") for i in range(20)], "src string, dst string, type string")
+    with pytest.raises(RuntimeError, match="not settled after 1 rounds"):
+        connected_components(edges.select("src", "dst"), max_rounds=1)
+    nodes = spark.createDataFrame([(f"n{i:02d}",) for i in range(21)], "section_id string")
+    with pytest.warns(RuntimeWarning, match="not settled after 1 rounds"):
+        audit.communities(nodes, edges, rounds=1)
