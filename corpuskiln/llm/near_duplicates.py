@@ -19,10 +19,21 @@ probability 0.52, so a pair exactly at the threshold is lost with probability
 `anchors=None` makes all shingles anchors, for no loss at any length. Sets of
 less than ten shingles are also met by leaving out up to three tenths of the
 set, which is exact.
+
+Hot variants. A boilerplate under a third of the texts gives variants that as
+many texts share. A task that meets a variant in more than LOCAL of its texts
+says so once and sends the texts' further rows elsewhere, spread evenly, so no
+group of the shuffle holds more than LOCAL rows of each task. The texts of
+variants that more than HOT texts share are paired by an exact prefix filter.
+
+Equal texts share a key and are one text throughout. Keys are 64-bit hashes;
+where two texts with the same hash differ by a second one, the second is the
+key, so no two different texts are taken for equal.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import chain, combinations
 
 import numpy as np
@@ -41,6 +52,13 @@ SKETCH = 256
 ANCHORS = 12
 #: Variants that more texts share than this are refined by an exact prefix filter.
 HOT = 256
+#: Texts of a task that may meet on a variant; those of a batch from which on they are counted.
+LOCAL, WATCHED = 64, 4
+#: Copies of a text that are paired in one piece; pairs of more copies are split into blocks.
+COPIES = 1_000
+SALTS = 16
+#: Texts with equal hashes that are told apart on the driver (expected: less than one in 10^9 texts).
+MOST_COLLISIONS = 10_000
 #: Keys of candidates are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -82,9 +100,18 @@ def ring(words: list[list[bytes]], size: int, hashes: dict) -> tuple[np.ndarray,
     return packed & ((np.uint64(1) << _BITS) - np.uint64(1)), (packed >> _BITS).astype(np.int64)
 
 
-def text_keys(words: list[list[bytes]]) -> np.ndarray:
-    """A 64-bit key of each text's word sequence."""
-    return np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], dtype=np.uint64).view(np.int64)
+def text_hashes(words: list[list[bytes]], seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each text's word sequence."""
+    return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed) for w in words], dtype=np.uint64).view(np.int64)
+
+
+def text_keys(words: list[list[bytes]], collided: np.ndarray) -> np.ndarray:
+    """A key of each text's word sequence: its hash, or a second one where the first is that of several texts."""
+    keys = text_hashes(words)
+    again = np.flatnonzero(np.isin(keys, collided)) if len(collided) else ()
+    if len(again):
+        keys[again] = text_hashes([words[i] for i in again], 1)
+    return keys
 
 
 def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -140,40 +167,62 @@ def _long_enough(column: pa.Array, size: int) -> tuple[np.ndarray, list[list[byt
 
 
 def _keyer(size: int):
+    """All rows with both hashes of their texts, the sizes of their sets and sketches; nulls where a text is null or too short."""
+
     def key(batches):
         hashes = _WordHashes()
         for batch in batches:
             at, words = _long_enough(batch.column(2), size)
+            rest = np.setdiff1d(np.arange(batch.num_rows), at)
+            if len(rest):
+                kept, none = batch.take(pa.array(rest)), pa.nulls(len(rest), pa.int64())
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *[none] * (3 + len(_SKETCH))], names=["_id", "_version", "key", "second", "n", *_SKETCH])
             for i in range(0, len(words), _TEXTS):
                 part = words[i : i + _TEXTS]
                 value, owner = ring(part, size, hashes)
                 kept = batch.take(pa.array(at[i : i + _TEXTS]))
                 sketch = [pa.array(c) for c in sketches(value, owner, len(part)).T.copy()]
                 sizes = pa.array(np.bincount(owner, minlength=len(part)))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(text_keys(part)), sizes, *sketch], names=["_id", "_version", "key", "n", *_SKETCH])
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(text_hashes(part)), pa.array(text_hashes(part, 1)), sizes, *sketch], names=["_id", "_version", "key", "second", "n", *_SKETCH])
 
     return key
 
 
-def _emitter(size: int, anchors: int | None):
+def _emitter(size: int, anchors: int | None, collided: np.ndarray, local: int):
+    """place, variant, key, heat: 0 a text under its variant, 1 one of a variant too common in the task (spread by place), 2 the task's word that it is."""
+
     def emit(batches):
-        hashes = _WordHashes()
+        hashes, seen, said = _WordHashes(), Counter(), set()
         for batch in batches:
             _, words = _long_enough(batch.column(0), size)
-            keys, at = np.unique(text_keys(words), return_index=True)
+            keys, at = np.unique(text_keys(words, collided), return_index=True)
             words = [words[i] for i in at]
             for i in range(0, len(words), _TEXTS):
                 variant, owner = ball(*ring(words[i : i + _TEXTS], size, hashes), anchors)
-                yield pa.RecordBatch.from_arrays([pa.array(variant.view(np.int64)), pa.array(keys[i + owner])], names=["variant", "key"])
+                variant, key = variant.view(np.int64), keys[i + owner]
+                values, counts = np.unique(variant, return_counts=True)
+                often = counts >= WATCHED
+                for v, n in zip(values[often].tolist(), counts[often].tolist()):
+                    seen[v] += n
+                hot = np.array([v for v in values[often].tolist() if seen[v] > local], dtype=np.int64)
+                heat = np.isin(variant, hot)
+                spread = _mix(variant.view(np.uint64) + _mix(key.view(np.uint64))).view(np.int64)
+                fresh = [v for v in hot.tolist() if v not in said]
+                said.update(fresh)
+                told = pa.array(fresh, pa.int64())
+                arrays = [pa.array(np.where(heat, spread, variant)), pa.array(variant), pa.array(key), pa.array(heat.astype(np.int8))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["place", "variant", "key", "heat"])
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([told, told, pa.nulls(len(fresh), pa.int64()), pa.array([2] * len(fresh), pa.int8())], names=["place", "variant", "key", "heat"])
 
     return emit
 
 
-def _text_keyer(size: int):
+def _text_keyer(size: int, collided: np.ndarray):
     def key(batches):
         for batch in batches:
             at, words = _long_enough(batch.column(0), size)
-            keys, first = np.unique(text_keys(words), return_index=True)
+            keys, first = np.unique(text_keys(words, collided), return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(at[first]))], names=["key", "_text"])
 
     return key
@@ -193,11 +242,11 @@ def _ringer(size: int):
     return emit
 
 
-def _rings(texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+def _rings(texts: DataFrame, keys: DataFrame, size: int, collided: np.ndarray) -> DataFrame:
     """key, parts (48-bit hashes of its shingles) of the wanted texts."""
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    wanted = texts.mapInArrow(_text_keyer(size), "key long, _text string").join(keys, "key", "left_semi")
+    wanted = texts.mapInArrow(_text_keyer(size, collided), "key long, _text string").join(keys, "key", "left_semi")
     return wanted.mapInArrow(_ringer(size), "key long, parts array<long>").groupBy("key").agg(F.first("parts").alias("parts"))
 
 
@@ -215,14 +264,14 @@ def _close(pairs: DataFrame, sketched: DataFrame, tenths: int) -> DataFrame:
     )
 
 
-def _hot_pairs(hot: DataFrame, texts: DataFrame, size: int, tenths: int) -> DataFrame:
+def _hot_pairs(hot: DataFrame, texts: DataFrame, size: int, tenths: int, collided: np.ndarray) -> DataFrame:
     """Exact candidate pairs among the texts of too common variants: prefix filtering, rarest shingle first.
 
     Texts of similarity t share one of their n - ceil(t n) + 1 first shingles
     in any common order. The order by frequency among these very texts puts
     what they all share last.
     """
-    parts = _rings(texts, hot.select("key").distinct(), size).select("key", F.explode("parts").alias("part"))
+    parts = _rings(texts, durable(hot.select("key").distinct()), size, collided).select("key", F.explode("parts").alias("part"))
     common = parts.groupBy("part").agg(F.count("*").alias("n"))
     inside = Window.partitionBy("key")
     ranked = (
@@ -251,46 +300,55 @@ def linked_texts(
     tenths: int = 8,
     anchors: int | None = ANCHORS,
     hot: int = HOT,
+    local: int = LOCAL,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): links(key_a, key_b, similarity) between different texts whose shingle sets
     have a Jaccard similarity of at least tenths/10 (7 or more), members(_id, key) the ids of each text.
 
-    Null ids and texts, and texts of less than `size` words, are left out. Of
-    several rows of an id the one with the greatest version (then text hash)
-    counts. Equal texts share a key. An empty table gives empty results.
+    Null ids are left out. Of several rows of an id the one with the greatest
+    version (then text hash) counts; if its text is null or has less than
+    `size` words, the id is left out. Equal texts share a key. An empty table
+    gives empty results.
     """
     if tenths < 7:
         raise ValueError("the fingerprints' radius covers similarities of 0.7 and more")
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("_text")).where("_text is not null")
     versions = F.col(version_col) if version_col else F.lit(0)
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), versions.alias("_version"), F.col(text_col).alias("_text"))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), versions.alias("_version"), F.col(text_col).alias("_text"))
     kinds = dict(rows.dtypes)
-    keyed = durable(rows.mapInArrow(_keyer(size), f"_id {kinds['_id']}, _version {kinds['_version']}, key long, n long, " + ", ".join(f"{c} long" for c in _SKETCH)))
-    members = keyed.groupBy("_id").agg(F.max(F.struct("_version", "key"))["key"].alias("key"))
-    sketched = keyed.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)])
-    balls = texts.mapInArrow(_emitter(size, anchors), "variant long, key long")
-    group = Window.partitionBy("variant")
+    hashed = durable(rows.mapInArrow(_keyer(size), f"_id {kinds['_id']}, _version {kinds['_version']}, key long, second long, n long, " + ", ".join(f"{c} long" for c in _SKETCH)))
+    twice = hashed.where("key is not null").groupBy("key").agg(F.min("second").alias("_a"), F.max("second").alias("_b")).where("_a <> _b").select("key").limit(MOST_COLLISIONS + 1).collect()
+    if len(twice) > MOST_COLLISIONS:
+        raise RuntimeError("too many texts with equal hashes")
+    collided = np.array([r[0] for r in twice], dtype=np.int64)
+    keyed = hashed.withColumn("key", F.when(F.col("key").isin(collided.tolist()), F.col("second")).otherwise(F.col("key"))) if len(collided) else hashed
+    newest = keyed.groupBy("_id").agg(F.max(F.struct("_version", "key"))["key"].alias("key"))
+    members = newest.where("key is not null")
+    sketched = keyed.where("key is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)])
+    balls = texts.mapInArrow(_emitter(size, anchors, collided, local), "place long, variant long, key long, heat tinyint")
+    group = Window.partitionBy("place")
     shared = (
         balls.withColumn("_least", F.min("key").over(group))
         .withColumn("_most", F.max("key").over(group))
-        .where("_least <> _most")
-        .select("variant", "key")
+        .withColumn("_told", F.max("heat").over(group) == 2)
+        .where("heat = 1 or heat = 0 and (_told or _least <> _most)")
+        .select("place", "variant", "key", (F.col("_told") | (F.col("heat") == 1)).alias("hot"))
         .distinct()
         .withColumn("n", F.count("*").over(group))
     )
-    shared = durable(shared)
-    few = shared.where(F.col("n") <= hot)
+    shared = durable(shared.select("variant", "key", (F.col("hot") | (F.col("n") > hot)).alias("hot")))
     after = Window.partitionBy("variant").orderBy("key").rowsBetween(1, Window.unboundedFollowing)
     met = (
-        few.withColumn("_next", F.collect_list("key").over(after))
+        shared.where("not hot")
+        .withColumn("_next", F.collect_list("key").over(after))
         .select(F.col("key").alias("key_a"), F.explode("_next").alias("key_b"))
     )
-    many = shared.where(F.col("n") > hot)
+    many = shared.where("hot")
     if not many.isEmpty():
-        met = met.unionByName(_hot_pairs(many, texts, size, tenths))
+        met = met.unionByName(_hot_pairs(many, texts, size, tenths, collided))
     pairs = durable(_close(met.distinct(), sketched, tenths))
     keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
-    sets = durable(_rings(texts, durable(keys), size))
+    sets = durable(_rings(texts, durable(keys), size, collided))
     a = sets.select(F.col("key").alias("key_a"), F.col("parts").alias("parts_a"))
     b = sets.select(F.col("key").alias("key_b"), F.col("parts").alias("parts_b"))
     common = F.size(F.array_intersect("parts_a", "parts_b"))
@@ -304,6 +362,29 @@ def linked_texts(
     return links, members
 
 
+def copies(members: DataFrame, most: int = COPIES) -> DataFrame:
+    """_a < _b: every pair of ids of the same text, for members(_id, key).
+
+    Up to `most` copies are paired on their key. More are dealt to blocks, and
+    each pair of blocks is a key of its own, so no task pairs more than two blocks.
+    """
+    sizes = durable(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    spread = sizes.withColumn("_salt", F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
+    few = members.join(spread.where("_salt = -1").select("key"), "key")
+    a, b = few.select("key", F.col("_id").alias("_a")), few.select("key", F.col("_id").alias("_b"))
+    paired = a.join(b, "key").where("_a < _b").select("_a", "_b")
+    hot = spread.where("_salt >= 0")
+    if hot.isEmpty():
+        return paired
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    dealt = members.withColumn("_salt", salt).join(hot, ["key", "_salt"]).select("key", "_id", blocks.alias("_blocks"), F.pmod(F.xxhash64("_id", F.lit(7)), blocks.cast("long")).cast("int").alias("_block"))
+    left = dealt.select("key", F.col("_id").alias("_a"), F.col("_block").alias("_i"), F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("_j"))
+    right = dealt.select("key", F.col("_id").alias("_b"), F.col("_block").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_i"))
+    across = left.join(right, ["key", "_i", "_j"]).where("_i < _j or _a < _b")
+    return paired.unionByName(across.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")))
+
+
 def similar_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", version_col: str | None = None, size: int = 5, tenths: int = 8, anchors: int | None = ANCHORS) -> DataFrame:
     """id_a < id_b: every pair of ids whose texts are equal or linked (see linked_texts)."""
     links, members = linked_texts(df, id_col, text_col, version_col, size, tenths, anchors)
@@ -311,8 +392,7 @@ def similar_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", ver
     a = members.select(F.col("_id").alias("_a"), F.col("key").alias("key_a"))
     b = members.select(F.col("_id").alias("_b"), F.col("key").alias("key_b"))
     across = links.join(a, "key_a").join(b, "key_b").select("_a", "_b")
-    copies = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("_a") < F.col("_b"))).select("_a", "_b")
-    return across.union(copies).select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
+    return across.union(copies(members)).select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
 
 
 def similar_groups(df: DataFrame, id_col: str = "id", text_col: str = "text", version_col: str | None = None, size: int = 5, tenths: int = 8, anchors: int | None = ANCHORS) -> DataFrame:

@@ -93,3 +93,42 @@ def test_sketches_bound_the_difference():
         for j in range(i):
             apart = sum(bin(int(a) & (2**64 - 1)).count("1") for a in (bits[i] ^ bits[j]))
             assert apart <= len(sets[i] ^ sets[j])
+
+
+def test_variants_common_in_a_task_are_spread(spark):
+    """A third of the rows share one boilerplate; no row of it meets in one group, and no link is lost."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    boiler = [r.choice(words) for _ in range(40)]
+    texts = corpus(12, 80)
+    for i in range(60):
+        w = list(boiler)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(40)] = f"name{i}x{r.randrange(3)}"
+        texts[f"z{i:03d}"] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(3)
+    links, members = N.linked_texts(df, size=3, tenths=7, anchors=None, local=4)
+    keys = {r["_id"]: r["key"] for r in members.collect()}
+    found = {tuple(sorted((r["key_a"], r["key_b"]))) for r in links.collect()}
+    assert found == {tuple(sorted((keys[a], keys[b]))) for a, b in brute(texts, 3, 7) if keys[a] != keys[b]}
+
+
+def test_copies_in_blocks(spark):
+    members = spark.createDataFrame([(f"i{i:02d}", 1 if i < 20 else 2 if i < 23 else i) for i in range(26)], "_id string, key long")
+    want = {(f"i{a:02d}", f"i{b:02d}") for lo, hi in ((0, 20), (20, 23)) for a in range(lo, hi) for b in range(a + 1, hi)}
+    for most in (3, 7, 1_000):
+        got = [tuple(x) for x in N.copies(members, most).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_equal_hashes_of_different_texts():
+    words = split_words(["a b c d", "e f g h", "a b c d"])
+    first = N.text_hashes(words)
+    keys = N.text_keys(words, first[:1])
+    assert keys[0] == keys[2] == N.text_hashes(words, 1)[0] and keys[1] == first[1]
+
+
+def test_newest_text_counts_even_if_short(spark):
+    rows = [("a", "one two three four", 1), ("a", "short", 2), ("b", "one two three four", 1), ("c", "one two three four", 1), ("c", None, 3)]
+    df = spark.createDataFrame(rows, "id string, text string, v int")
+    assert N.similar_pairs(df, version_col="v", size=3, tenths=7).count() == 0
