@@ -25,22 +25,19 @@ from pyspark.sql import functions as F
 
 from corpuskiln.session import durable
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARD_TOKENS = 4_000_000
+#: Distinct capacities are taken to the driver up to this many.
+MOST_CAPACITIES = 1_000
 
 
-#: The usual split pattern of a byte-level vocabulary, where the tokenizers' own module isn't there to tell it.
+#: The usual split pattern of a byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def load_tokenizer(path: str):
-    """A tiktoken encoding from a file of ranks."""
+def load_tokenizer(path: str, pattern: str = PATTERN):
+    """A tiktoken encoding from a file of ranks, which every executor must be able to read."""
     import tiktoken
 
-    try:
-        from public_tokenizers import PATTERN as pattern
-    except ImportError:
-        pattern = PATTERN
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -56,7 +53,7 @@ def _counter(path: str):
     return count
 
 
-def token_counts(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens of each id with a text that has tokens; of several rows of an id the longest counts."""
     rows = documents.where(F.col(doc_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -122,7 +119,7 @@ def _pack_shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return packed.assign(capacity_tokens=np.int32(key[0]), shard=np.int64(key[1]))[["capacity_tokens", "shard", "container", "doc_id", "piece", "n_tokens"]]
 
 
-def packed(documents: DataFrame, budgets: DataFrame, doc_col: str = "doc_id", text_col: str = "text", capacity_col: str = "capacity_tokens", tokenizer: str = TOKENIZER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def packed(documents: DataFrame, budgets: DataFrame, tokenizer: str, doc_col: str = "doc_id", text_col: str = "text", capacity_col: str = "capacity_tokens", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """capacity_tokens, container, doc_id, piece, n_tokens for every distinct positive capacity.
 
     Each text lies whole in one container unless it is larger than one; then
@@ -130,13 +127,15 @@ def packed(documents: DataFrame, budgets: DataFrame, doc_col: str = "doc_id", te
     texts and null ids take no room and give no row. The budgets are a small
     table of capacities; null and non-positive ones are left out.
     """
-    counts = durable(token_counts(documents, doc_col, text_col, tokenizer))
+    counts = durable(token_counts(documents, tokenizer, doc_col, text_col))
     total = counts.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     capacities = budgets.where(F.col(capacity_col) > 0).select(F.col(capacity_col).cast("int").alias("capacity_tokens")).distinct()
     order = F.xxhash64("doc_id")
     items = counts.where("n_tokens > 0").withColumn("_order", order).withColumn("shard", F.pmod(F.shiftright(order, 20), F.lit(shards)))
-    sized = [r[0] for r in capacities.collect()]
+    sized = [r[0] for r in capacities.limit(MOST_CAPACITIES + 1).collect()]
+    if len(sized) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
     items = items.withColumn("capacity_tokens", F.explode(F.array(*[F.lit(c) for c in sized]) if sized else F.array().cast("array<int>")))
     kind = dict(counts.dtypes)["doc_id"]
     local = durable(

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from corpuskiln.llm import packing as P
+from corpuskiln.llm.queries import TOKENIZER
 
 
 @pytest.mark.parametrize("seed, capacity", [(1, 64), (2, 256), (3, 7)])
@@ -40,14 +41,14 @@ def test_placement_minimises_the_sum_of_squares():
         assert int((packer.counts**2).sum()) == min(options)
 
 
-@pytest.mark.skipif(not os.path.exists(P.TOKENIZER), reason="no tokenizer files")
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
 def test_tables(spark):
-    tokenizer = P.load_tokenizer(P.TOKENIZER)
+    tokenizer = P.load_tokenizer(TOKENIZER)
     texts = {1: "a few words", 2: "x " * 900, 3: "", 4: None, 5: "one more <|endoftext|> text", 6: "a few words"}
     rows = [(i, t, 7) for i, t in texts.items()] + [(1, "a few words", 7), (None, "lost", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, container int")
     budgets = spark.createDataFrame([(1, 64), (2, 512), (3, None), (4, 0), (5, 64)], "budget_id int, capacity_tokens int")
-    got = P.packed(docs, budgets, shard_tokens=400).collect()
+    got = P.packed(docs, budgets, TOKENIZER, shard_tokens=400).collect()
     for capacity in (64, 512):
         mine = [r for r in got if r["capacity_tokens"] == capacity]
         assert {d: sum(r["n_tokens"] for r in mine if r["doc_id"] == d) for d in (1, 2, 5, 6)} == {d: len(tokenizer.encode_ordinary(texts[d])) for d in (1, 2, 5, 6)}
@@ -55,4 +56,4 @@ def test_tables(spark):
         assert numbers == set(range(len(numbers))) and {r["doc_id"] for r in mine} == {1, 2, 5, 6}
         for c in numbers:
             assert sum(r["n_tokens"] for r in mine if r["container"] == c) <= capacity
-    assert P.packed(docs.where("false"), budgets).count() == 0 and P.packed(docs, budgets.where("false")).count() == 0
+    assert P.packed(docs.where("false"), budgets, TOKENIZER).count() == 0 and P.packed(docs, budgets.where("false"), TOKENIZER).count() == 0
