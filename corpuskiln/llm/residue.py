@@ -1,18 +1,23 @@
 """Template residue, filler, error pages and script notices, by positive-unlabelled naive Bayes.
 
-A text is cut into passages (lines and sentences). A naive Bayes model over
-words and template fields has five classes: content and the four kinds. It is
-learned by expectation-maximization from trusted passages, which come from
-records that hold nothing but what a trusted phrase or field marks and from a
-few built-in examples, and from unlabelled passages, whose class is estimated
-anew each round. It is fitted on a sample of at most `sample` records (chosen
-by hash), a bound that doesn't grow with the data. Every passage of every
-record is then scored and the record's passages are weighed up:
-
-* placeholder: a passage has an unfilled field and the field's own evidence is for that class;
+A text is cut into passages: lines and sentences, and each marked span (what
+stands in brackets or between signs) is a passage of its own. A naive Bayes
+model over words, and over signs, shape and words of spans, has five classes:
+content and the four kinds. It is learned by expectation-maximization from
+trusted passages and from unlabelled ones, whose class is estimated anew each
+round. Trusted are records in which seed phrases mark every passage of any
+length, spans of seed forms, and a few examples of each kind; all these only label what the
+model is learned from. Every passage of every record is then scored, and
+scores alone decide:
+
+* placeholder: a span is scored as a field;
 * filler: a passage of dummy text has `least` words or more, or such passages make up a quarter beside headings;
 * error_page, script_notice: such passages outweigh the content.
 
+The model is fitted on at most `sample` trusted records and spans, one for each
+form that they take anywhere in the table (digits and case aside), and `sample`
+unlabelled records, both the least by hash: bounds that don't grow with the data.
+
 Null and blank texts give no row; repeated ids one row (the least kind). In an
 empty table nothing is found. Foreign and unknown words weigh for no class.
 """
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -34,37 +40,42 @@ KINDS = ("content", "placeholder", "filler", "error_page", "script_notice")
 SAMPLE = 10_000
 ROUNDS = 6
 LEAST = 8
+MASS = 1000.0
 
-#: An unfilled field, by the marks of common template languages and forms.
-FIELD = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|\$\{[^{}\n]{1,60}\}|<%=?[^<>\n]{1,60}%>|%\([A-Za-z_]\w{0,40}\)[sdf]|@@\w{2,40}@@|<<[A-Za-z][\w -]{0,40}>>|\[\[[A-Za-z][\w -]{0,40}\]\]"
-    r"|__[A-Z][A-Z0-9_]{1,40}__|%[A-Z][A-Z0-9_]{1,40}%|#{1,2}[A-Z][A-Z0-9_]{2,40}#{1,2}|(?<![\w$%])\{[A-Za-z][A-Za-z0-9_]{0,40}\}|\[(?:INSERT|ENTER|ADD|YOUR|Insert|Enter|Add|Your) [\w -]{1,40}\]"
-    r"|\[[A-Z][A-Z0-9_]{2,}(?: [A-Z0-9]{2,})*\]|<(?:insert |enter |your )[\w -]{1,40}>|<[a-z][\w -]{0,40} here>|\((?:TODO|TBD|FIXME)[: ][^()\n]{1,40}\)|\bXX/XX/XX(?:XX)?\b|\$X[X,]{2,}(?:\.XX)?|\bXXX-XX-XXXX\b|\bmm/dd/yyyy\b"
+#: What may be a field: text in brackets or between signs, and masks of the letter X.
+SPAN = re.compile(
+    r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|\$?\{[^{}\n]*\}|<<[^<>\n]*>>|<[^<>\n]*>|\[\[[^\[\]\n]*\]\]|\[[^\[\]\n]*\]|%\([^()\n]*\)[a-z]|\([^()\n]*\)"
+    r"|@@\w+@@|__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__|%[A-Za-z]\w*%|#+[A-Za-z]\w*#+|\$?\bX[X,]*X(?:\.XX)?\b(?:[/-]X+)*|\b[a-z]{2}/[a-z]{2}/[a-z]{4}\b"
 )
-_MARKS = ("{", "[", "<", "@@", "__", "%(", "XX", "$X", "(TODO", "(TBD", "(FIXME", "mm/dd")
-_MORE_MARKS = re.compile(r"[%#][A-Z]")
+_MARKS = re.compile(r"[{<\[(]|@@|__|%[A-Za-z]|#[A-Za-z]|X[X,]|\b[a-z]{2}/[a-z]{2}/")
+#: The same without round brackets, which hold no trusted span.
+_OPENERS = re.compile(r"[{<\[]|@@|__|%[A-Za-z(]|#[A-Za-z]|X[X,]|\b[a-z]{2}/[a-z]{2}/")
 _PASSAGES = re.compile(r"(?<=[.!?。！？])\s+|\n+")
-_SLOT = b"\x01field"
-
-#: Trusted phrases of records that are nothing but a message (fixed values).
-_ERROR = re.compile(
-    r"^(?:error )?(?:4\d\d|5\d\d)\b.{0,40}(?:not found|denied|forbidden|unauthori[sz]ed|unavailable|error|gateway|timeout|timed out)|\binternal server error\b|\bbad gateway\b|\bservice (?:temporarily )?unavailable\b|\btoo many requests\b|\bpage (?:you (?:requested|are looking for)|not found)\b"
-    r"|\btraceback \(most recent|\bfatal error: uncaught|\berror establishing a database|\bsession has expired\b|\bno longer available\b|\bsomething went wrong\b|\bcouldn.t find that page|\b\w+\.\w+\.\w*exception: |\bcould not be opened \(code|\bscheduled maintenance\b"
-    r"|\bp[aá]gina no encontrada\b|\bseite nicht gefunden\b|\bpage introuvable\b|\berreur (?:4|5)\d\d\b|\bfehler (?:4|5)\d\d\b",
-    re.I,
-)
-_SCRIPT = re.compile(
-    r"\b(?:enable|activate|turn on|switch on|allow|requires?|needs?|support)\b.{0,30}\b(?:javascript|java script|scripts?|scripting|cookies)\b|\b(?:javascript|scripts?|scripting|cookies)\b.{0,40}\b(?:disabled|is off|required|have to be allowed|missing|must be)\b"
-    r"|<noscript>|\bchecking your browser\b|\bunsupported browser\b|\b(?:aktivieren sie|necesita|activez|active|habilite) javascript\b",
-    re.I,
-)
-_FILLER = re.compile(
-    r"\blorem ipsum\b|\bdolor (?:sit )?amet\b|\b(?:asdf|qwer(?:ty)?) |\bto be written\b|\bcoming soon\b|\bcontent pending\b|^\[text\]$|^\(copy\)$|\bx{4,} x{4,}|\bTK TK\b|\bplaceholder (?:paragraph|text)\b|\b(?:test ){3,}|\bdummy (?:paragraph|text)\b|\b(?:before|prior to) publish|\btext to follow\b|\byour (?:content|text) here\b|\btext goes here\b|\bdrafted by\b.{0,20}\beditors\b",
-    re.I,
-)
+
+#: Forms of spans and phrases of messages that are trusted (fixed values).
+SEEDS: dict[str, tuple[str, ...]] = {
+    "placeholder": (r"\{\{.*\}\}", r"\$\{.*\}", r"<%.*%>", r"#{1,2}[A-Z][A-Z0-9_]+#{1,2}", r"\[(?:INSERT|ENTER) .+\]", r"\$X[X,]+(?:\.XX)?", r"XX/XX/XX(?:XX)?"),
+    "filler": (
+        r"\blorem ipsum\b", r"\bdolor (?:sit )?amet\b", r"\b(?:asdf|qwer(?:ty)?) ", r"\bto be written\b", r"\bcoming soon\b", r"\bcontent pending\b", r"^\[text\]$", r"^\(copy\)$", r"\bx{4,} x{4,}", r"\bTK TK\b", r"\bplaceholder (?:paragraph|text)\b", r"\b(?:test ){3,}",
+        r"\bdummy (?:paragraph|text)\b", r"\b(?:before|prior to) publish", r"\btext to follow\b", r"\byour (?:content|text) here\b", r"\btext goes here\b", r"\bdrafted by\b.{0,20}\beditors\b",
+    ),
+    "error_page": (
+        r"^(?:error )?(?:4\d\d|5\d\d)\b.{0,40}(?:not found|denied|forbidden|unauthori[sz]ed|unavailable|error|gateway|timeout|timed out)", r"\binternal server error\b", r"\bbad gateway\b", r"\bservice (?:temporarily )?unavailable\b", r"\btoo many requests\b", r"\bpage (?:you (?:requested|are looking for)|not found)\b",
+        r"\btraceback \(most recent", r"\bfatal error: uncaught", r"\berror establishing a database", r"\bsession has expired\b", r"\bno longer available\b", r"\bsomething went wrong\b", r"\bcouldn.t find that page", r"\b\w+\.\w+\.\w*exception: ", r"\bcould not be opened \(code", r"\bscheduled maintenance\b",
+        r"\bp[aá]gina no encontrada\b", r"\bseite nicht gefunden\b", r"\bpage introuvable\b", r"\berreur (?:4|5)\d\d\b", r"\bfehler (?:4|5)\d\d\b",
+    ),
+    "script_notice": (
+        r"\b(?:enable|activate|turn on|switch on|allow|requires?|needs?|support)\b.{0,30}\b(?:javascript|java script|scripts?|scripting|cookies)\b", r"\b(?:javascript|scripts?|scripting|cookies)\b.{0,40}\b(?:disabled|is off|required|have to be allowed|missing|must be)\b",
+        r"<noscript>", r"\bchecking your browser\b", r"\bunsupported browser\b", r"\b(?:aktivieren sie|necesita|activez|active|habilite) javascript\b",
+    ),
+}
 #: Words of the usual dummy Latin (fixed values); three different ones mark a trusted passage.
 _LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore aliqua nulla morbi porta ornare fusce vestibulum pulvinar".split())
-_EXAMPLES = (
+EXAMPLES = (
+    *[("placeholder", x) for x in (
+        "{{ name }}", "{{name}}", "{% name %}", "${name}", "<%= name %>", "%(name)s", "@@name@@", "<<name>>", "[[name]]", "__CLIENT_NAME__", "%NAME%", "#CLIENT_NAME#", "##NAME##", "{client_name}", "{name}", "[INSERT name]", "[Your name]", "[CLIENT NAME]",
+        "<insert name>", "<name here>", "(TODO: name)", "(TBD: date)", "XX/XX/XXXX", "$X,XXX.XX", "XXX-XX-XXXX", "mm/dd/yyyy",
+    )],
     ("filler", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua nulla porta morbi ornare ultra fusca velum"),
     ("filler", "To be written."), ("filler", "Coming soon."), ("filler", "Content pending."), ("filler", "[text]"), ("filler", "(copy)"), ("filler", "xxxxx xxxx xxxxxx"),
     ("filler", "asdf qwer blah blah asdf test test 123 xxx xxx"), ("filler", "Intro TK."), ("filler", "TK TK."), ("filler", "Placeholder paragraph: write two sentences later."),
@@ -77,70 +88,126 @@ _EXAMPLES = (
 )
 
 
+class Seeds:
+    """What labels the trusted passages; none of it is asked when records are judged."""
+
+    def __init__(self, seeds: dict[str, Sequence[str]] = SEEDS, examples: Sequence[tuple[str, str]] = EXAMPLES, repeats: bool = True):
+        any_of = lambda k, flags: re.compile("|".join(seeds[k]) or r"(?!)", flags)
+        self.field = any_of("placeholder", 0)
+        self.phrases = [(KINDS.index(k), any_of(k, re.I)) for k in ("error_page", "script_notice", "filler")]
+        self.examples, self.repeats = examples, repeats
+
+    def kind(self, text: str) -> int:
+        """The class of a record that is trusted to be nothing but one kind of residue, else -1."""
+        lines, found = [], []
+        for p in _each_passage(text):
+            kind = next((k for k, pattern in self.phrases if pattern.search(p)), 0)
+            if not kind and self.repeats and len(_LATIN.intersection(re.findall("[a-z]+", p.lower()))) > 2:
+                kind = 2
+            if not kind and len(p.split()) > 9:
+                return -1  # a sentence of content
+            lines.append(p)
+            found.append(kind)
+        most, often = Counter(lines).most_common(1)[0] if lines else ("", 0)
+        if self.repeats and often >= 3 and often * 5 >= len(lines) * 3 and len(most.split()) <= 6:  # one short sentence over and over
+            found = [2 if p == most and not k else k for p, k in zip(lines, found)]
+        kinds = {k for k in found if k}
+        return kinds.pop() if len(kinds) == 1 else -1
+
+
 def passages(text: str) -> list[str]:
     """Lines and sentences that are not blank."""
     return [p for p in _PASSAGES.split(text) if p and not p.isspace()]
 
 
-def _cut(texts: list[str]) -> tuple[list[int], list[list[bytes]], list[bool], list[str]]:
-    """Of all passages: record number, words with fields replaced, whether there is a field, the passage."""
-    owners, words, fields, cut = [], [], [], []
-    for i, text in enumerate(texts):
-        suspect = any(m in text for m in _MARKS) or bool(_MORE_MARKS.search(text))
-        for p in passages(text):
-            field = bool(suspect and FIELD.search(p))
-            owners.append(i)
-            fields.append(field)
-            cut.append(FIELD.sub(" ", p) if field else p)
-    words = split_words(cut)
-    for w, field in zip(words, fields):
-        if 0 < len(w) <= 6:  # a short message is also known as a whole
-            w.append(b"\x02" + b" ".join(w))
-        if field:
-            w.append(_SLOT)
-    return owners, words, fields, cut
-
-
-def trusted_kind(text: str) -> int:
-    """The class of a record that is trusted to be nothing but one kind of residue, else -1."""
-    if len(text) > 600:
-        return -1
-    lines = passages(text)
-    found = [3 if _ERROR.search(p) else 4 if _SCRIPT.search(p) else 2 if _FILLER.search(p) or len(_LATIN & set(re.findall("[a-z]+", p.lower()))) > 2 else 0 for p in lines]
-    most, often = Counter(lines).most_common(1)[0] if lines else ("", 0)
-    if often >= 3 and often * 5 >= len(lines) * 3 and len(most.split()) <= 6:  # one short sentence over and over
-        found = [2 if p == most and not k else k for p, k in zip(lines, found)]
-    kinds = {k for k in found if k}
-    plain = sum(len(p) for p, k in zip(lines, found) if not k and len(p.split()) > 9)
-    return kinds.pop() if len(kinds) == 1 and not plain else -1
-
-
-def fit(texts: list[str], rounds: int = ROUNDS) -> dict[bytes, np.ndarray]:
-    """Log-odds against content of each word for the four kinds (under b'' those of the classes)."""
-    texts = [*texts, *(t for _, t in _EXAMPLES)]
-    own = [trusted_kind(t) for t in texts[: -len(_EXAMPLES)]] + [KINDS.index(k) for k, _ in _EXAMPLES]
-    owners, words, fields, cut = _cut(texts)
+def _each_passage(text: str):
+    """The same one by one, for those who need the first few alone."""
+    at = 0
+    for m in _PASSAGES.finditer(text):
+        if text[at : m.start()].strip():
+            yield text[at : m.start()]
+        at = m.end()
+    if text[at:].strip():
+        yield text[at:]
+
+
+def span_features(span: str) -> list[bytes]:
+    """Signs around a span, its shape and its words."""
+    inner = span.strip("{}<>[]()%@_#$ ")
+    opening, closing = (span.split(inner, 1) if inner else (span, ""))
+    shape = re.sub("[a-zß-öø-ÿ]+", "a", re.sub("[A-ZÀ-ÖØ-Þ]+", "A", re.sub("[0-9]+", "9", span)))
+    shape = re.sub(r"(?:([ _,]?)([aA9]))(?:\1\2)+", r"\1\2+", shape)
+    words = [w for w in re.split("[^a-z0-9]+", inner.lower()) if w]
+    found = [f"\x01o{opening.strip()} {closing.strip()}", f"\x01s{shape}", *(f"\x01w{w}" for w in words)]
+    return [x.encode() for x in found]
+
+
+class Cut:
+    """All passages of some texts: owner (text number), words or features, whether it is a span, and the passage."""
+
+    def __init__(self, texts: list[str]):
+        self.owners: list[int] = []
+        self.cut: list[str] = []
+        self.spans: list[bool] = []
+        for i, text in enumerate(texts):
+            suspect = bool(_MARKS.search(text))
+            for p in passages(text):
+                inside: list[str] = []
+                rest = SPAN.sub(lambda m: inside.append(m.group()) or " ", p) if suspect and _MARKS.search(p) else p  # noqa: B023
+                if not rest.isspace():
+                    self.owners.append(i)
+                    self.cut.append(rest)
+                    self.spans.append(False)
+                for span in inside:
+                    self.owners.append(i)
+                    self.cut.append(span)
+                    self.spans.append(True)
+        self.words = split_words(self.cut)
+        known: dict[str, list[bytes]] = {}
+        for j, (w, span) in enumerate(zip(self.words, self.spans)):
+            if span:
+                p = self.cut[j]
+                if p not in known:
+                    known[p] = span_features(p)
+                self.words[j] = known[p]
+            elif 0 < len(w) <= 6:  # a short message is also known as a whole
+                w.append(b"\x02" + b" ".join(w))
+
+
+def fit(texts: list[str], seeds: Seeds | None = None, trusted: list[tuple[int, str]] = (), rounds: int = ROUNDS) -> dict[bytes, np.ndarray]:
+    """Log-odds against content of each word for the four kinds (under b'' those of the classes).
+
+    `texts` are records of any class, `trusted` (class, text) further records and spans of one.
+    """
+    seeds = seeds or Seeds()
+    labelled = [*trusted, *((KINDS.index(k), t) for k, t in seeds.examples)]
+    own = [*(seeds.kind(t) for t in texts), *(k for k, _ in labelled)]
+    part = Cut([*texts, *(t for _, t in labelled)])
+    owners, words, spans, cut = part.owners, part.words, part.spans, part.cut
     first = list({(o, p): i for i, (o, p) in enumerate(zip(owners, cut))}.values())  # a passage counts once a record
-    owners, words, fields = [owners[i] for i in first], [words[i] for i in first], [fields[i] for i in first]
+    owners, words, spans, cut = ([x[i] for i in first] for x in (owners, words, spans, cut))
     vocabulary: dict[bytes, int] = {}
     lists = [[vocabulary.setdefault(w, len(vocabulary)) for w in set(ws)] for ws in words]
     counts = np.array([len(x) for x in lists], dtype=np.int64)
     ids = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
     row = np.repeat(np.arange(len(lists)), counts)
     classes, size = len(KINDS), len(vocabulary)
-    fixed = np.array([own[o] if own[o] > 0 else 1 if f else -1 for o, f in zip(owners, fields)], dtype=np.int64)
+    fixed = np.array([own[o] if own[o] > 0 else 1 if f and seeds.field.fullmatch(p) else -1 for o, f, p in zip(owners, spans, cut)], dtype=np.int64)
     resp = np.zeros((len(lists), classes))
     resp[:, 0] = 1.0
     resp[fixed > 0] = 0.0
     resp[fixed > 0, fixed[fixed > 0]] = 1.0
     free = np.flatnonzero(fixed < 0)
+    # However many trusted passages a table has, they weigh as much as MASS of a class at most, so that large and small tables are judged alike.
+    mass = np.bincount(fixed[fixed > 0], minlength=classes)
+    weight = np.where(fixed > 0, np.minimum(1.0, MASS / np.maximum(1, mass))[fixed], 1.0)
     # A word's rate in a class is smoothed toward its rate in all passages, so that unknown words weigh nothing.
     overall = (np.bincount(ids, minlength=size) + 1.0) / (len(lists) + 2.0)
     for _ in range(rounds):
-        totals = resp.sum(axis=0)
+        totals = (resp * weight[:, None]).sum(axis=0)
         log_rate = np.empty((size, classes))
         for k in range(classes):
-            seen = np.bincount(ids, weights=resp[row, k], minlength=size)
+            seen = np.bincount(ids, weights=resp[row, k] * weight[row], minlength=size)
             log_rate[:, k] = np.log((seen + 2.0 * overall) / (totals[k] + 2.0))
         prior = np.log((totals + 1.0) / (totals.sum() + classes))
         score = np.stack([np.bincount(row, weights=log_rate[ids, k], minlength=len(lists)) for k in range(classes)], axis=1) + prior
@@ -160,8 +227,6 @@ class Scorer:
         self.prior, self.least = model[b""], least
         self.numbers = {w: i + 1 for i, w in enumerate(w for w in model if w)}
         self.table = np.vstack([np.zeros(4, np.float32), *(model[w] for w in self.numbers)])
-        # A field is as telling in a long passage as in a short one, so its own evidence decides.
-        self.field_alone = bool(_SLOT not in self.numbers or self.table[self.numbers[_SLOT], 0] + self.prior[0] > 0)
 
     def scores(self, words: list[list[bytes]]) -> np.ndarray:
         """Log-odds of each passage for the four kinds against content."""
@@ -174,19 +239,19 @@ class Scorer:
 
     def kinds(self, texts: list[str]) -> np.ndarray:
         """Class of each record, 0 for content."""
-        owners, words, fields, cut = _cut(texts)
         found = np.zeros(len(texts), np.int64)
-        if not owners:
+        part = Cut(texts)
+        if not part.owners:
             return found
-        owner = np.array(owners)
-        score = self.scores(words)
+        owner, span = np.array(part.owners), np.array(part.spans)
+        score = self.scores(part.words)
         best = score.argmax(axis=1)
         kind = np.where(score[np.arange(len(best)), best] > 0, best + 1, 0)
-        size = np.array([max(1, len(w)) for w in words])
-        heading = np.array([p.rstrip()[-1:] not in ".!?:;。！？" and (len(p.split()) <= 9 or " > " in p or " | " in p) for p in cut])
+        size = np.array([max(1, len(p.split())) for p in part.cut])
+        heading = np.array([p.rstrip()[-1:] not in ".!?:;。！？" and (len(p.split()) <= 9 or " > " in p or " | " in p) for p in part.cut])
         weight = np.stack([np.bincount(owner, weights=size * (kind == k), minlength=len(texts)) for k in range(5)], axis=1)
-        sentences = np.bincount(owner, weights=size * ((kind == 0) & ~heading), minlength=len(texts))
-        field = np.bincount(owner, weights=np.array(fields) & self.field_alone, minlength=len(texts)) > 0
+        sentences = np.bincount(owner, weights=size * ((kind == 0) & ~heading & ~span), minlength=len(texts))
+        field = np.bincount(owner, weights=(kind == 1) & span, minlength=len(texts)) > 0
         longest = np.zeros(len(texts))
         np.maximum.at(longest, owner, size * (kind == 2))
         message = weight[:, 3] + weight[:, 4]
@@ -209,12 +274,36 @@ def _judge(shared):
     return judge
 
 
-def residue(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def _form(text: str) -> str:
+    return re.sub("[0-9]+", "#", " ".join(text.lower().split()))
+
+
+def _trusting(seeds: Seeds):
+    """kind, text of the trusted records and spans of a table, one for each form in a batch."""
+
+    def trust(batches):
+        for batch in batches:
+            found: dict[tuple[int, str], str] = {}
+            for text in batch.column(0).to_pylist():
+                kind = seeds.kind(text)
+                if kind > 0:
+                    found.setdefault((kind, _form(text)), text)
+                elif _OPENERS.search(text):
+                    for span in SPAN.findall(text):
+                        if span[0] != "(" and seeds.field.fullmatch(span):
+                            found.setdefault((1, _form(span)), span)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([f for _, f in found], pa.string()), pa.array(list(found.values()), pa.string())], names=["kind", "form", "text"])
+
+    return trust
+
+
+def residue(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seeds: Seeds | None = None) -> DataFrame:
     """doc_id, kind of every record that holds residue in place of content."""
+    seeds = seeds or Seeds()
     rows = documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    count = rows.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * sample / max(1, count)) + 1)
-    texts = [r[0] for r in rows.where(share).select("_text").limit(sample).collect()]
-    shared = documents.sparkSession.sparkContext.broadcast(fit(texts))
+    forms = rows.select("_text").mapInArrow(_trusting(seeds), "kind int, form string, text string").groupBy("kind", "form").agg(F.min("text").alias("text"))
+    trusted = [(r[0], r[1]) for r in forms.orderBy(F.xxhash64("kind", "form"), "form").limit(sample).select("kind", "text").collect()]
+    texts = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "_text").limit(sample).select("_text").collect()]
+    shared = documents.sparkSession.sparkContext.broadcast(fit(texts, seeds, trusted))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_judge(shared), f"doc_id {kind}, kind string").groupBy("doc_id").agg(F.min("kind").alias("kind"))

@@ -64,6 +64,33 @@ def test_dummy_text_amid_content(scorer):
     assert R.KINDS[scorer.kinds([f"{content(r, 4)}\n\n{dummy}\n\n{content(r, 3)}"])[0]] == "filler"
 
 
+def test_fields_of_any_length_and_unseen_forms(scorer):
+    r = random.Random(7)
+    for field in ("{{ " + "client name and address " * 20 + "}}", "%(" + "city_" * 30 + ")s"):
+        assert scorer.kinds([f"{content(r, 4)} Our office at {field} will call you."]).tolist() == [1]
+
+
+def test_long_records_of_residue_are_trusted():
+    text = "\n".join(["404 Not Found", "The page you requested could not be located."] * 40)
+    assert R.Seeds().kind(text) == R.KINDS.index("error_page") and R.Seeds().kind(text + "\n" + content(random.Random(8), 2)) == -1
+
+
+def test_judgement_needs_no_seed():
+    """Records are judged by the model's scores: with no seeds asked at all, a fitted model finds what it found with them."""
+    r = random.Random(1)
+    texts = [content(r, r.randrange(1, 8)) for _ in range(300)] + ["404 Not Found\nThe page you requested could not be located.", "Dear {{ client_name }}, your levy is due.", "Dear @@client_name@@, your levy is due."] * 5
+    scorer = R.Scorer(R.fit(texts))
+    assert scorer.kinds(["404 Not Found", "Your levy, <client_name>, is due. Keep the wage.", content(r, 3)]).tolist() == [3, 1, 0]
+
+
+def test_rare_forms_outside_the_sample_are_learned(spark):
+    """Trusted forms come from the whole table, so the size of the unlabelled sample drops none."""
+    r = random.Random(9)
+    rows = [(i, content(r, 4)) for i in range(200)] + [(900, "Erreur 404 : page introuvable"), (901, "Session beendet. Fehler 503")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(x) for x in R.residue(df, sample=40).collect()} == {(900, "error_page"), (901, "error_page")}
+
+
 def test_tables(spark):
     r = random.Random(6)
     rows = [(i, content(r, 4), "x") for i in range(60)] + [(100, "404 Not Found", "x"), (100, "404 Not Found", "x"), (101, None, "x"), (102, " \n ", "x"), (103, content(r, 3000), "x"), (104, "Dear {{ name }}, see below.", "x"), (None, "404 Not Found", "x")]
