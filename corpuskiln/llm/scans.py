@@ -1,14 +1,14 @@
 """Repair of text from scanned pages by noisy-channel decoding.
 
-One pass over all texts counts words and adds adjacent word pairs to a sketch
-of fixed size (a corpus bigram model). The lexicon is all words: the `lexicon`
-most frequent ones are broadcast with the sketch, and a page's words beyond
-them get their counts and candidates by a join. An observed word and a true
-one are confusable if they have the same skeleton, a form in which every
-misreading of the confusion table looks alike, so candidates are looked up and
-not searched for. Each line with a doubtful word is decoded by Viterbi:
-the product of character confusion probabilities and bigram likelihood picks
-one candidate a word.
+One pass over all texts counts words and adjacent word pairs (a corpus bigram
+model); both counts are exact. The `lexicon` most frequent words and the
+`bigrams` most frequent pairs are broadcast; what a page needs beyond them gets
+its counts by a join, so the two sizes change the plan and not the result. An
+observed word and a true one are confusable if they have the same skeleton, a
+form in which every misreading of the confusion table looks alike, so
+candidates are looked up and not searched for. Each line with a doubtful word
+is decoded by Viterbi: the product of character confusion probabilities and
+bigram likelihood picks one candidate a word.
 
 Before that, printed page numbers and running headers are taken from the
 lines, and words divided at a line end are joined, with a hyphen where the
@@ -20,12 +20,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,8 +33,7 @@ from corpuskiln.operators.nested import newest
 from corpuskiln.session import durable
 
 LEXICON = 100_000
-CELLS = 1 << 21
-SEGMENTS = 64
+BIGRAMS = 1_000_000
 #: Probability that a character group is misread as one of its confusions.
 CONFUSION = 0.03
 #: What a form with signs or digits inside counts as: it is no word, however often it occurs.
@@ -75,59 +72,78 @@ def _seen(token: str) -> str:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        value = xxhash.xxh32_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
         if len(self) < 500_000:
             self[word] = value
         return value
 
 
-def _cells(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A pair's cells in the two halves of the sketch; the lesser of their counts bounds the pair's."""
+def pair_hashes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of word hashes."""
     x = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + after.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    half = np.uint64(CELLS // 2)
-    return ((x >> np.uint64(32)) % half).astype(np.int64), ((x & np.uint64(0xFFFFFFFF)) % half + half).astype(np.int64)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+class _PairSum:
+    """Counts of pair hashes, merged when many have come together."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, pairs: np.ndarray) -> None:
+        self.parts.append(np.unique(pairs, return_counts=True))
+        self.held += len(self.parts[-1][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.empty(0, np.int64) for i in (0, 1))
+        values, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, weights=counts, minlength=len(values)).astype(np.int64)
+        self.parts, self.held = [(values, total)], len(values)
+        return values, total
 
 
 def _count(batches):
-    """Word counts of a task, and its pair counts as compressed segments of the sketch."""
-    words, pairs, hashes = Counter(), np.zeros(CELLS, np.int64), _Hashes()
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("segment", pa.int32()), ("cells", pa.binary())])
+    """Word counts and pair counts of a task."""
+    words, pairs, hashes = Counter(), _PairSum(), _Hashes()
+    schema = pa.schema([("word", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
 
-    def flush():
+    def flush_words():
         keys = list(words)
-        blank = pa.nulls(len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([words[k] for k in keys], pa.int64()), blank.cast(pa.int32()), blank.cast(pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.nulls(len(keys), pa.int64()), pa.array([words[k] for k in keys], pa.int64())], schema=schema)
+        words.clear()
+
+    def flush_pairs():
+        keys, counts = pairs.merged()
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys), pa.array(counts)], schema=schema)
+        pairs.__init__()
 
     for batch in batches:
         lists = [tokens(t) for t in batch.column(0).to_pylist() if t]
         for found in lists:
             words.update(found)
-        h = np.fromiter((hashes[w] for found in lists for w in ("", *found)), dtype=np.uint32)
+        h = np.fromiter((hashes[w] for found in lists for w in ("", *found)), dtype=np.uint64)
         if len(h) > 1:
-            for cells in _cells(h[:-1], h[1:]):
-                pairs += np.bincount(cells, minlength=CELLS)
+            pairs.add(pair_hashes(h[:-1], h[1:]))
         if len(words) > 500_000:
-            yield from flush()
-            words.clear()
-    yield from flush()
-    blobs = [zlib.compress(part.astype(np.int64).tobytes(), 1) for part in np.split(pairs, SEGMENTS)]
-    none = pa.nulls(SEGMENTS)
-    yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.int64()), pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
-
-
-def _sum_cells(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CELLS // SEGMENTS, np.int64)
-    for blob in group["cells"]:
-        total += np.frombuffer(zlib.decompress(blob), np.int64)
-    return pd.DataFrame({"segment": [key[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
+            yield from flush_words()
+        if pairs.held > 4_000_000:
+            pairs.merged()
+            if pairs.held > 2_000_000:
+                yield from flush_pairs()
+    yield from flush_words()
+    yield from flush_pairs()
 
 
 class Channel:
     """The noisy channel: lexicon, confusions and bigram likelihood."""
 
-    def __init__(self, words: dict[str, int], pairs: np.ndarray, confusion: float = CONFUSION, total: int | None = None):
+    def __init__(self, words: dict[str, int], pairs: tuple[np.ndarray, np.ndarray], confusion: float = CONFUSION, total: int | None = None):
+        """`words` to counts, and `pairs`: sorted hashes and counts."""
         self.words, self.pairs, self.confusion = words, pairs, confusion
+        self.rare_pairs: dict[int, int] = {}
+        self.met: dict[tuple[str, str], int] = {}
         self.total = max(1, sum(words.values()) if total is None else total)
         self.index = self._by_skeleton(words)
         self.rare: dict[str, int] = {}
@@ -143,9 +159,11 @@ class Channel:
                 index.setdefault(skeleton(w), []).append(w)
         return index
 
-    def look_up(self, rare: dict[str, int]) -> None:
-        """The words beyond `words` that the next text may need, most frequent first."""
-        self.rare, self.rare_index = rare, self._by_skeleton(rare)
+    def look_up(self, rare: dict[str, int], pairs: dict[int, int] | None = None) -> None:
+        """The words beyond `words` that the next text may need, most frequent first, and its pairs beyond `pairs`."""
+        if rare or self.rare:
+            self.known.clear()
+        self.rare, self.rare_index, self.rare_pairs = rare, self._by_skeleton(rare), pairs or {}
 
     def count(self, word: str) -> int:
         return self.words.get(word) or self.rare.get(word, 0)
@@ -186,22 +204,46 @@ class Channel:
                 self.known[word] = found
         return found
 
+    def pair(self, before: str, word: str) -> int:
+        return int(pair_hashes(np.array([self.hashes[before]], np.uint64), np.array([self.hashes[word]], np.uint64))[0])
+
+    def common(self, pair: int) -> int:
+        """The count of a broadcast pair; 0 if it isn't one."""
+        keys, counts = self.pairs
+        at = int(np.searchsorted(keys, pair))
+        return int(counts[at]) if at < len(keys) and keys[at] == pair else 0
+
     def together(self, before: str, word: str) -> float:
-        """An upper bound of how often the pair occurs (the same cells as _cells)."""
-        x = (self.hashes[before] * 0x9E3779B97F4A7C15 + self.hashes[word] * 0xC2B2AE3D27D4EB4F) & _ALL
-        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & _ALL
-        half = CELLS // 2
-        return float(min(self.pairs[(x >> 32) % half], self.pairs[(x & 0xFFFFFFFF) % half + half]))
+        """How often the pair occurs; pairs that occur once count as none."""
+        found = self.met.get((before, word))
+        if found is None:
+            pair = self.pair(before, word)
+            found = self.common(pair)
+            if not found and self.rare_pairs:
+                return float(self.rare_pairs.get(pair, 0))
+            if found and len(self.met) < 1_000_000:
+                self.met[before, word] = found
+        return float(found)
 
     def likelihood(self, before: str, word: str) -> float:
         """The log of the word's probability after another, drawn toward its overall frequency."""
         own, n = self.frequency(word), self.frequency(before) if before else 1.0
-        both = 0.0
-        if len(self.pairs) and own > 1:
-            both = self.together(before, word)
+        both = self.together(before, word) if own > 1 else 0.0
         both = max(0.0, min(both, n, own) - 1.0)  # a word doesn't speak for itself
         return math.log((both + 20.0 * own / self.total) / (n + 20.0))
 
+    def asked_pairs(self, text: str) -> set[int]:
+        """The pairs beyond the broadcast ones that decoding the text's lines looks up."""
+        found = set()
+        for row in text.split("\n"):
+            line = [_seen(t) for t in _TOKEN.findall(row)]
+            options = [[w, *(c for c, _ in self.candidates(w))] for w in line]
+            for i, now in enumerate(options):
+                before = options[i - 1] if i else [""]
+                if len(now) > 1 or len(before) > 1:
+                    found.update(p for a in before for b in now if not self.common(p := self.pair(a, b)))
+        return found
+
     def decode(self, line: list[str]) -> list[str]:
         """The likeliest true words of a line, by Viterbi."""
         states = [[(w, 0.0), *self.candidates(w)] for w in line]
@@ -395,20 +437,29 @@ def _label(section: str | None) -> str:
     return (section or "").split(":")[0]
 
 
-def _cleaner(shared):
+def _channel(shared) -> Channel:
+    words, keys, counts, total = shared.value
+    return Channel(words, (keys, counts), total=total)
+
+
+def _rare(rows) -> dict[str, int]:
+    found = {(r["word"], r["n"]) for r in rows or ()}
+    return dict(sorted(found, key=lambda r: (-r[1], r[0])))
+
+
+def _cleaner(shared, names: list[str]):
     def work(batches):
-        words, cells, total = shared.value
-        channel = Channel(words, cells, total=total)
+        channel = _channel(shared)
         for batch in batches:
-            ids, labels, firsts, lasts, texts, *rare = (c.to_pylist() for c in batch.columns)
+            rows = {n: batch.column(n).to_pylist() for n in names}
+            none = [None] * batch.num_rows
             done = []
-            for i, (s, a, z, t) in enumerate(zip(labels, firsts, lasts, texts)):
-                if rare:
-                    found = {(r["word"], r["n"]) for r in rare[0][i] or ()}
-                    channel.look_up(dict(sorted(found, key=lambda r: (-r[1], r[0]))))
+            for s, a, z, t, rare, pairs in zip(rows["section_id"], rows["page_start"], rows["page_end"], rows["text"], rows.get("rare", none), rows.get("pairs", none)):
+                if "rare" in rows or "pairs" in rows:
+                    channel.look_up(_rare(rare), {r["pair"]: r["n"] for r in pairs or ()})
                 done.append(clean(t, _label(s), a, z, channel))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], names=["id", "text", "noise"]
+                [batch.column("id"), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], names=["id", "text", "noise"]
             )
 
     return work
@@ -418,8 +469,7 @@ def _asker(shared):
     """id, key: the skeletons under which a page needs words beyond the broadcast ones."""
 
     def work(batches):
-        words, cells, total = shared.value
-        channel = Channel(words, cells, total=total)
+        channel = _channel(shared)
         for batch in batches:
             ids, keys = [], []
             for id_, s, a, z, t in zip(*(c.to_pylist() for c in batch.columns)):
@@ -432,66 +482,78 @@ def _asker(shared):
     return work
 
 
+def _pair_asker(shared):
+    """id, pair: the pairs beyond the broadcast ones that a page needs."""
+
+    def work(batches):
+        channel = _channel(shared)
+        for batch in batches:
+            ids, keys = [], []
+            for id_, s, a, z, t, *rare in zip(*(c.to_pylist() for c in batch.columns)):
+                channel.look_up(_rare(rare[0]) if rare else {})
+                body, removed, _ = running_text(t, _label(s), a, z)
+                found = sorted(channel.asked_pairs("\n".join([joined(body, channel)[0], *removed])))
+                keys += found
+                ids += [id_] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.int64())], names=["id", "pair"])
+
+    return work
+
+
 def _keyed(batches):
     for batch in batches:
         words = batch.column(0).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([skeleton(w) for w in words], pa.string()), batch.column(0), batch.column(1)], names=["key", "word", "n"])
 
 
-def _top(counts: DataFrame, lexicon: int) -> list:
-    return counts.orderBy(F.desc("n"), "word").limit(lexicon).collect()
+def _top(counts: DataFrame, key: str, most: int) -> tuple[pa.Table, bool]:
+    """The `most` greatest counts (then least keys), and whether these are all."""
+    found = counts.orderBy(F.desc("n"), key).limit(most + 1).toArrow()
+    return found.slice(0, most), found.num_rows <= most
 
 
-def language_model(texts: DataFrame, lexicon: int = LEXICON) -> tuple[dict[str, int], np.ndarray]:
-    """Counts of the most frequent words and the pair sketch, over all texts of a one-column table."""
-    counts, cells = _statistics(texts)
-    return {r[0]: r[1] for r in _top(counts, lexicon)}, cells
+def _beyond(counts: DataFrame, key: str, top: pa.Table) -> DataFrame:
+    """The counts that are not in a non-empty `top`."""
+    last_key, last = top.column(key)[-1].as_py(), top.column("n")[-1].as_py()
+    return counts.where((F.col("n") < last) | (F.col("n") == last) & (F.col(key) > last_key))
 
 
-def _statistics(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """word, n of all words, and the pair sketch."""
-    counted = durable(texts.mapInArrow(_count, "word string, n long, segment int, cells binary"))
-    counts = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    parts = counted.where("segment is not null").select("segment", "cells", F.spark_partition_id().alias("_part"))
-    ways = max(1, counted.rdd.getNumPartitions() // SEGMENTS)
-    some = parts.withColumn("_way", F.col("_part") % ways).groupBy("segment", "_way").applyInPandas(_sum_cells, "segment int, cells binary")
-    whole = some.groupBy("segment").applyInPandas(_sum_cells, "segment int, cells binary").collect()
-    cells = np.zeros(CELLS, np.int64)
-    width = CELLS // SEGMENTS
-    for segment, blob in whole:
-        cells[segment * width : (segment + 1) * width] = np.frombuffer(zlib.decompress(blob), np.int64)
-    return counts, cells.clip(max=2**31 - 1).astype(np.int32)
+def statistics(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, n of all words; pair, n of all pairs that occur twice or more) over all texts of a one-column table."""
+    counted = durable(texts.mapInArrow(_count, "word string, pair long, n long"))
+    words = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    pairs = counted.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1")
+    return durable(words), durable(pairs)
 
 
-def repaired(chunks: DataFrame, lexicon: int = LEXICON) -> DataFrame:
+def repaired(chunks: DataFrame, lexicon: int = LEXICON, bigrams: int = BIGRAMS) -> DataFrame:
     """id, text, noise (array of kinds) for the newest row of each PDF chunk, i.e. with a page_start or page_end.
 
-    The corpus statistics cover all chunks' texts and all words; `lexicon` is how
-    many words are broadcast and has no effect on the result. Null and blank
-    texts have no noise; a null text stays null and is left out. An empty table
-    gives an empty result.
+    The corpus statistics cover all chunks' texts, words and pairs; `lexicon`
+    and `bigrams` (1 or more) are how many of them are broadcast and have no
+    effect on the result. Null and blank texts have no noise; a null text stays
+    null and is left out. An empty table gives an empty result.
     """
-    counts, cells = _statistics(chunks.select("text").where("text is not null"))
-    top = _top(counts, lexicon + 1)
-    whole = len(top) <= lexicon
-    top = top[:lexicon]
-    if whole:
-        total = sum(r[1] for r in top)
-    else:
-        counts = durable(counts)
-        total = counts.agg(F.sum("n")).first()[0]
-    shared = chunks.sparkSession.sparkContext.broadcast(({r[0]: r[1] for r in top}, cells, total))
+    words, pairs = statistics(chunks.select("text").where("text is not null"))
+    top, all_words = _top(words, "word", lexicon)
+    often, all_pairs = _top(pairs, "pair", bigrams)
+    total = words.agg(F.sum("n")).first()[0]
+    keys, counts = often.column("pair").to_numpy(), often.column("n").to_numpy()
+    order = np.argsort(keys)
+    shared = chunks.sparkSession.sparkContext.broadcast((dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist())), keys[order], counts[order], total or 0))
     pages = newest(chunks.select("id", "section_id", "page_start", "page_end", "text", "ingested_at"), "id", "ingested_at")
     pages = pages.where("text is not null and (page_start is not null or page_end is not null)").select("id", "section_id", "page_start", "page_end", "text")
-    if not whole:
-        last = top[-1]
-        beyond = counts.where((F.col("n") < last[1]) | (F.col("n") == last[1]) & (F.col("word") > last[0]))
-        beyond = beyond.where((F.col("n") > 1) | F.contains("word", F.lit("-")))  # a single one counts as none, but for a compound
+    if not all_words:
+        beyond = _beyond(words, "word", top).where((F.col("n") > 1) | F.contains("word", F.lit("-")))  # a single one counts as none, but for a compound
         lists = pages.mapInArrow(_asker(shared), "id string, key string").join(beyond.mapInArrow(_keyed, "key string, word string, n long"), "key")
         pages = pages.join(lists.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("rare")), "id", "left")
-    return pages.mapInArrow(_cleaner(shared), "id string, text string, noise array<string>")
+        pages = durable(pages) if not all_pairs else pages
+    if not all_pairs:
+        needed = pages.mapInArrow(_pair_asker(shared), "id string, pair long").join(_beyond(pairs, "pair", often), "pair")
+        pages = pages.join(needed.groupBy("id").agg(F.collect_list(F.struct("pair", "n")).alias("pairs")), "id", "left")
+    return pages.mapInArrow(_cleaner(shared, pages.columns), "id string, text string, noise array<string>")
 
 
-def noise(chunks: DataFrame, lexicon: int = LEXICON) -> DataFrame:
+def noise(chunks: DataFrame, lexicon: int = LEXICON, bigrams: int = BIGRAMS) -> DataFrame:
     """id, noise: one row per chunk and kind of noise."""
-    return repaired(chunks, lexicon).select("id", F.explode("noise").alias("noise"))
+    return repaired(chunks, lexicon, bigrams).select("id", F.explode("noise").alias("noise"))

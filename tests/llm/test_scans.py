@@ -20,14 +20,15 @@ CLEAN = [
 
 @pytest.fixture(scope="module")
 def channel():
-    words, pairs, h = Counter(), np.zeros(S.CELLS, np.int64), S._Hashes()
+    words, pairs = Counter(), Counter()
     for t in CLEAN:
         found = S.tokens(t)
         words.update(found)
-        ids = np.array([h[w] for w in ("", *found)], dtype=np.uint32)
-        for cells in S._cells(ids[:-1], ids[1:]):
-            np.add.at(pairs, cells, 1)
-    return S.Channel(dict(words), pairs)
+        pairs.update(zip(("", *found), found))
+    h = S._Hashes()
+    keys = np.array([S.pair_hashes(np.array([h[a]], np.uint64), np.array([h[b]], np.uint64))[0] for a, b in pairs])
+    order = np.argsort(keys)
+    return S.Channel(dict(words), (keys[order], np.array(list(pairs.values()))[order]))
 
 
 def work(channel, text, label="IRS Pub. 8483", first=16, last=17):
@@ -95,17 +96,19 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     assert {tuple(r) for r in S.noise(df).collect()} == {("d", "misread"), ("d", "page_number"), ("g", "page_number")}
     assert {r["id"]: r["text"] for r in S.repaired(df).collect()} == {"d": "Enter the penalty", "f": "", "g": "Keep the ledger."}
     assert S.noise(df.where("false")).count() == 0
-    words, cells = S.language_model(df.select("text").where("text is not null"))
-    assert words["penalty"] == 30
-    # one pair a word, and one between two texts of a batch
-    assert cells.sum() >= 2 * sum(len(S.tokens(t)) for t in [*CLEAN, "Enter the pena|ty\nPage 3", "old\nPage 3", "Keep the ledger.\nPage 4", "x"])
+    words, pairs = S.statistics(df.select("text").where("text is not null"))
+    assert {r["word"]: r["n"] for r in words.collect()}["penalty"] == 30
+    h = S._Hashes()
+    of = lambda a, b: int(S.pair_hashes(np.array([h[a]], np.uint64), np.array([h[b]], np.uint64))[0])
+    counts = {r["pair"]: r["n"] for r in pairs.collect()}
+    assert counts[of("modified", "ledger")] == 30 and counts[of("the", "penalty")] == 30 and of("ledger", "modified") not in counts
 
 
-@pytest.mark.parametrize("lexicon", [1, 12, 40])
-def test_words_beyond_the_broadcast_ones_count(spark, lexicon):
+@pytest.mark.parametrize("lexicon, bigrams", [(1, S.BIGRAMS), (12, 3), (40, 20), (S.LEXICON, 1)])
+def test_words_and_pairs_beyond_the_broadcast_ones_count(spark, lexicon, bigrams):
     texts = [*CLEAN, "Enter the pena|ty and the residiial inter-\nest due.", "the with-\nholding and the perialty", "a long-\nterm house-\nhold's year-\nend", "a well-known\nfili- ers' an- d'co-\npies"]
     rows = [(f"c{i}", "IRS Pub. 1: a", 3, 3, t, 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id string, section_id string, page_start int, page_end int, text string, ingested_at int")
-    want, got = ({r["id"]: (r["text"], r["noise"]) for r in S.repaired(df, n).collect()} for n in (S.LEXICON, lexicon))
+    want, got = ({r["id"]: (r["text"], r["noise"]) for r in S.repaired(df, *n).collect()} for n in ((), (lexicon, bigrams)))
     assert got == want
     assert got["c150"] == ("Enter the penalty and the residual interest due.", ["hyphenation", "misread"])
