@@ -36,6 +36,8 @@ LEXICON = 100_000
 BIGRAMS = 1_000_000
 #: Probability that a character group is misread as one of its confusions.
 CONFUSION = 0.03
+#: A reading that its neighbours would have to make this many times likelier than its frequency does isn't weighed.
+CONTEXT = 100.0
 #: What a form with signs or digits inside counts as: it is no word, however often it occurs.
 NO_WORD = 0.001
 _ALL = (1 << 64) - 1
@@ -143,7 +145,7 @@ class Channel:
         """`words` to counts, and `pairs`: sorted hashes and counts."""
         self.words, self.pairs, self.confusion = words, pairs, confusion
         self.rare_pairs: dict[int, int] = {}
-        self.met: dict[tuple[str, str], int] = {}
+        self.likely: dict[tuple[str, str], float] = {}
         self.total = max(1, sum(words.values()) if total is None else total)
         self.index = self._by_skeleton(words)
         self.rare: dict[str, int] = {}
@@ -163,6 +165,8 @@ class Channel:
         """The words beyond `words` that the next text may need, most frequent first, and its pairs beyond `pairs`."""
         if rare or self.rare:
             self.known.clear()
+        if rare or self.rare or pairs or self.rare_pairs:
+            self.likely.clear()
         self.rare, self.rare_index, self.rare_pairs = rare, self._by_skeleton(rare), pairs or {}
 
     def count(self, word: str) -> int:
@@ -193,12 +197,12 @@ class Channel:
         if found is None:
             found = []
             if self.readable(word):
-                own = self.frequency(word)
+                own = math.log(self.frequency(word) / CONTEXT)
                 for w in self.alike(word):
-                    if w != word:
+                    if w != word and math.log(self.count(w)) + math.log(self.confusion) > own:
                         blocks = sum(op[0] != "equal" for op in SequenceMatcher(None, word, w, autojunk=False).get_opcodes())
                         cost = blocks * math.log(self.confusion)
-                        if math.log(self.count(w)) + cost > math.log(own):
+                        if math.log(self.count(w)) + cost > own:
                             found.append((w, cost))
             if len(self.known) < 1_000_000:
                 self.known[word] = found
@@ -215,22 +219,21 @@ class Channel:
 
     def together(self, before: str, word: str) -> float:
         """How often the pair occurs; pairs that occur once count as none."""
-        found = self.met.get((before, word))
-        if found is None:
-            pair = self.pair(before, word)
-            found = self.common(pair)
-            if not found and self.rare_pairs:
-                return float(self.rare_pairs.get(pair, 0))
-            if found and len(self.met) < 1_000_000:
-                self.met[before, word] = found
-        return float(found)
+        pair = self.pair(before, word)
+        return float(self.common(pair) or self.rare_pairs.get(pair, 0))
 
     def likelihood(self, before: str, word: str) -> float:
         """The log of the word's probability after another, drawn toward its overall frequency."""
+        known = self.likely.get((before, word))
+        if known is not None:
+            return known
         own, n = self.frequency(word), self.frequency(before) if before else 1.0
         both = self.together(before, word) if own > 1 else 0.0
         both = max(0.0, min(both, n, own) - 1.0)  # a word doesn't speak for itself
-        return math.log((both + 20.0 * own / self.total) / (n + 20.0))
+        value = math.log((both + 20.0 * own / self.total) / (n + 20.0))
+        if len(self.likely) < 1_000_000:
+            self.likely[before, word] = value
+        return value
 
     def asked_pairs(self, text: str) -> set[int]:
         """The pairs beyond the broadcast ones that decoding the text's lines looks up."""
@@ -245,14 +248,20 @@ class Channel:
         return found
 
     def decode(self, line: list[str]) -> list[str]:
-        """The likeliest true words of a line, by Viterbi."""
-        states = [[(w, 0.0), *self.candidates(w)] for w in line]
+        """The likeliest true words of a line, by Viterbi.
+
+        A step between two words of one reading each is the same on every path and left out.
+        """
         best: list[tuple[float, list[str]]] = [(0.0, [])]
         before = [""]
-        for options in states:
+        for w in line:
+            options = [(w, 0.0), *self.candidates(w)]
             fresh = []
             for word, cost in options:
-                score, at = max((best[k][0] + self.likelihood(before[k], word), k) for k in range(len(before)))
+                if len(options) == 1 and len(before) == 1:
+                    score, at = best[0][0], 0
+                else:
+                    score, at = max((best[k][0] + self.likelihood(before[k], word), k) for k in range(len(before)))
                 fresh.append((score + cost, [*best[at][1], word]))
             best, before = fresh, [w for w, _ in options]
         return max(best, key=lambda b: b[0])[1]
@@ -291,11 +300,11 @@ class Channel:
 
 # --- lines ----------------------------------------------------------------
 
-_NUMBER_LINE = re.compile(r"^\s*(?:[-–—\[(]+\s*(\d{1,4})\s*[-–—\])]+|(?:p\s?a\s?g\s?e|pg\.?|p\.)\s*(\d{1,4})(?:\s*(?:of|/)\s*\d{1,4})?\.?|(\d{1,4})(?:\s*(?:of|/)\s*\d{1,4})?(\.?))\s*$", re.I)
-_BESIDE = re.compile(r"^\s*(?:(?:page|pg\.?)\s*(\d{1,4})|(\d{1,4}))\s{2,}(?=\S)|(?<=\S)\s{2,}(?:(?:page|pg\.?)\s*(\d{1,4})|(\d{1,4}))\s*$", re.I)
+_NUMBER_LINE = re.compile(r"^\s*(?:[-–—\[(]+\s*(\d+)\s*[-–—\])]+|(?:p\s?a\s?g\s?e|pg\.?|p\.)\s*(\d+)(?:\s*(?:of|/)\s*\d+)?\.?|(\d+)(?:\s*(?:of|/)\s*\d+)?(\.?))\s*$", re.I)
+_BESIDE = re.compile(r"^\s*(?:(?:page|pg\.?)\s*(\d+)|(\d+))\s{2,}(?=\S)|(?<=\S)\s{2,}(?:(?:page|pg\.?)\s*(\d+)|(\d+))\s*$", re.I)
 #: What stands in a running header beside the name of the source (fixed values, matched by skeleton).
 _EDITION = re.compile("|".join(skeleton(p).replace("#", r"\d") for p in ("tax year", "instructions", "continued", "department copy", "cat. no.", "catalog number", "edition", "revised", "rev.", "draft", "final")))
-_CHAPTER = re.compile(rf"^\s*(?:{skeleton('chapter')}|{skeleton('part')}|{skeleton('section')})\s+(?:\d{{1,3}}|[ivx]{{1,5}})(?:\s{{2,}}|\s*[:.–—-]\s+)\S")
+_CHAPTER = re.compile(rf"^\s*(?:{skeleton('chapter')}|{skeleton('part')}|{skeleton('section')})\s+(?:\d+|[ivxlcdm]+)(?:\s{{2,}}|\s*[:.–—-]\s+)\S")
 _TERMINAL = re.compile(r"[.!?:;][\"'”’)\]]*\s*$")
 
 
@@ -324,7 +333,7 @@ def running_header(line: str, label: str) -> tuple[bool, str]:
         return False, line
     core = _BESIDE.sub("", line)
     body = _keep_digits(core)
-    if _CHAPTER.match(body) and not _TERMINAL.search(core) and len(core.split()) <= 12:
+    if _CHAPTER.match(body) and not _TERMINAL.search(core):
         return True, core
     name = _keep_digits(label).strip() if label else ""
     if name and name in " ".join(body.split()):

@@ -85,6 +85,21 @@ def test_running_headers(channel, line, kinds):
     assert work(channel, f"Enter the penalty on\n{line}\nline 3 of the form.")[1] == kinds
 
 
+def test_no_length_limits(channel):
+    assert S.clean("Enter the penalty on line 3 of the form.\nPage 123456\nKeep the ledger.", "IRS Pub. 8483", 123455, 123457, channel)[1] == ["page_number"]
+    assert work(channel, f"Enter the penalty on\nChapter 1234   {' '.join(['penalty'] * 30)}\nline 3 of the form.")[1] == ["running_header"]
+
+
+def test_context_decides_between_two_true_words():
+    words = Counter({"the": 400, "fail": 100, "fall": 100, "exam": 90, "leaves": 90})
+    pairs = Counter({("fail", "exam"): 90, ("fall", "leaves"): 90})
+    h = S._Hashes()
+    keys = np.array([S.pair_hashes(np.array([h[a]], np.uint64), np.array([h[b]], np.uint64))[0] for a, b in pairs])
+    order = np.argsort(keys)
+    both = S.Channel(dict(words), (keys[order], np.array(list(pairs.values()))[order]))
+    assert both.decode(["fall", "exam"]) == ["fail", "exam"] and both.decode(["fall", "leaves"]) == ["fall", "leaves"] and both.decode(["the", "fall"]) == ["the", "fall"]
+
+
 def test_paragraphs_stay_apart(channel):
     assert work(channel, "The form\nof receipt.\n\nKeep the\r\nledger.") == ("The form of receipt.\n\nKeep the ledger.", [])
 
