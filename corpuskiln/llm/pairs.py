@@ -1,14 +1,16 @@
 """Defects of question-answer pairs: empty, truncated, refusal, copied, language.
 
 * Truncation: a pushdown parser reads the answer through fences, brackets,
-  quotations, list markers and markup; what is left open at the end, an ellipsis
-  or a marker without its item, breaks off. An answer without a final mark is
-  also held against an end model: how often the words and word classes it ends
-  with end a sentence. The model is a classifier fitted on at most `sample`
-  answers, chosen by hash.
+  quotations, list markers and markup and, within them, through phrases: a
+  determiner, preposition, conjunction, auxiliary, subordinator or word that
+  needs a follower opens one, and what completes it closes it. What is left
+  open at the end breaks off, as do an ellipsis, a marker without its item and
+  the beginning of a word. Which words need a follower is counted over all
+  answers: how often phrases end with them.
 * Copies: greedy string tiling of the answer with the question.
 * Languages: scripts, then function words and letters of each language.
-* Refusals: a small grammar of who can't, won't or mustn't do which act of speech.
+* Refusals: a grammar with productions for agents, modals, negations, acts of
+  speech, limits and rules, parsed from every token.
 
 One row per id and at most one defect: of several different rows of an id the
 one with the least (question, answer) counts. Null ids are left out. A null
@@ -17,15 +19,20 @@ question can't be copied nor tell a language.
 
 from __future__ import annotations
 
-import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000
+from corpuskiln.session import durable
+
+#: Words whose counts are broadcast; those of further words are joined to the answers that hold them.
+LEXICON = 200_000
 
 _INVISIBLE = re.compile("[\\s\u00a0\u00ad\u200b-\u200f\u2028-\u202f\u2060\ufeff]+")
 #: Stand-ins for "nothing here" and lead words (fixed values).
@@ -49,33 +56,118 @@ def is_empty(answer: str | None) -> bool:
 
 # --- refusals -------------------------------------------------------------
 
-_SPEECH = r"(?:answer|respond|reply|assist|help|advi[sc]e|advis(?:e|ing)|discuss|comment|say|speak|talk|cover|handle|provide|offer|give|guid(?:e|ance)|address|engage|share|disclose|weigh in|elaborate|go into|tell|explain)"
-_WHO = r"(?:i|we|this (?:assistant|system|tool|service|model|bot)|the (?:assistant|system|model|bot)|my (?:role|guidelines|policy|instructions|purpose))"
-_REFUSALS = [
-    re.compile(p, re.I)
-    for p in (
-        rf"\b{_WHO}(?:['’]m| am| is| are)? (?:not (?:able|allowed|permitted|authori[sz]ed|in a position|qualified|equipped)|unable|barred|forbidden|prohibited)(?: to| from)?\b.{{0,40}}\b{_SPEECH}",
-        rf"\b{_WHO} (?:can(?:not|['’]?t| not)|could(?:n['’]t| not)|won['’]?t(?: be able to)?|will not(?: be able to)?|may not|must not|do(?:es)? not|don['’]t|doesn['’]t|am unable to|prefer not to|would rather not|['’]d rather not|must decline to|have to decline to|decline to|refuse to)\s*(?:permit|allow|let me|want to|wish to|be able to|offer|give|provide)?\b.{{0,25}}\b{_SPEECH}\b(?! of a case)",
-        r"\bi(?: would|['’]d) rather not\b|\bi (?:must|have to|need to|will have to) (?:decline|refuse|pass)\b",
-        r"\bi (?:do not|don['’]t|lack|have no)\b.{0,12}\b(?:have )?(?:access|knowledge|expertise|authority|training|information|standing|means)\b",
-        r"\b(?:outside|beyond|not within|out of)\b.{0,12}\b(?:what (?:i|this assistant|the assistant|we)\b|(?:my|the) (?:scope|remit|role|abilities|capabilit))",
-        r"\b(?:no answer|nothing) (?:can be (?:offered|given|said)|(?:that )?i(?: am|['’]m) (?:permitted|allowed|able))",
-        r"\bnot something (?:i|this assistant|we) (?:can|may|am able to|could|will)\b",
-        r"\blet us (?:talk|speak|chat) about something (?:else|other)|\blet['’]s (?:talk|change)\b.{0,20}\b(?:something else|subject|topic)",
-        r"\banswering\b.{0,40}\b(?:would mean|would require|could be|would be|is not)\b|\b(?:giving|offering|providing)\b.{0,60}\b(?:could|would|might) be (?:harmful|inappropriate|unsafe|irresponsible)",
-        r"\bthe assistant (?:skipped|declined|refused|withheld|passed)\b|\bthis assistant (?:skips|declines|refuses|may not|cannot)",
-        r"\bmy (?:role|guidelines|policy|instructions|purpose)\b.{0,30}\b(?:not|never|prevent|forbid|prohibit|bar)",
-        r"\bi (?:have been|was|am) (?:set up|told|trained|instructed|designed|configured|programmed|built) (?:to (?:avoid|decline|refuse)|not to)",
-        r"\bnot be appropriate for me\b|\binappropriate for me\b|\bagainst my (?:guidelines|policy|policies|programming)\b|\bas an ai\b",
-        r"\blo siento\b.{0,40}\bno puedo\b|\bje (?:suis désolé|regrette)\b.{0,60}\bne (?:peux|puis)\b|\bes tut mir leid\b.{0,60}\bkann\b|\bno puedo (?:responder|ayudar)\b|\bne peux pas (?:répondre|aider)\b|\bkann (?:ich )?.{0,20}nicht (?:beantworten|helfen)\b",
-    )
-]
-_DECIDED = re.compile(r"\bI (?:can['’]t|cannot) think of\b", re.I)
+#: Productions (fixed values): alternatives of terminals, NONTERMINALS, optional? parts and ~n, a gap of up to n tokens of the sentence.
+_GRAMMAR = {
+    "REFUSAL": (
+        "AGENT BE? UNABLE TO? ~7 SPEECH", "AGENT MODAL not ADVERB? PERMIT? ~4 ACT", "AGENT WILLING not", "AGENT MUST DECLINE", "AGENT DECLINE TO? ~2 SPEECH", "AGENT LACK ~2 MEANS",
+        "BEYOND ~2 LIMIT", "NOTHING CANBE? OFFERED", "NOTHING that? AGENT BE PERMITTED", "not something AGENT ABILITY", "let us TALK about something OTHER", "let us change ~2 SUBJECT",
+        "answering ~7 WOULD", "GIVING ~10 RISK be HARMFUL", "MACHINE SKIPPED", "RULES ~5 FORBID", "AGENT BE MADE to AVOID", "AGENT BE MADE not to", "not be appropriate for me", "inappropriate for me", "against my RULE", "as an ai",
+        "lo siento ~7 no puedo", "no puedo HABLAR", "je REGRETTE ~10 ne PEUX", "ne peux pas REPONDRE", "es tut mir leid ~10 kann", "kann ich? ~4 nicht ANTWORTEN",
+    ),
+    "AGENT": ("i", "we", "MACHINE", "RULES"),
+    "MACHINE": ("this DEVICE", "the DEVICE"),
+    "DEVICE": ("assistant", "system", "tool", "service", "model", "bot"),
+    "RULES": ("my RULE",),
+    "RULE": ("role", "guidelines", "policy", "policies", "instructions", "purpose", "programming"),
+    "BE": ("am", "is", "are", "was", "have been"),
+    "CANBE": ("can be", "may be", "will be"),
+    "UNABLE": ("not ABLE", "unable", "barred", "forbidden", "prohibited"),
+    "ABLE": ("able", "allowed", "permitted", "authorized", "authorised", "in a position", "qualified", "equipped"),
+    "PERMITTED": ("permitted", "allowed", "able"),
+    "ABILITY": ("can", "may", "could", "will", "am able to"),
+    "TO": ("to", "from"),
+    "MODAL": ("can", "could", "will", "may", "must", "do", "does"),
+    "ADVERB": ("really", "currently", "possibly"),
+    "PERMIT": ("permit", "allow", "be able to", "let me", "want to", "wish to", "offer", "give", "provide"),
+    "WILLING": ("would rather", "prefer", "would prefer"),
+    "MUST": ("must", "have to", "need to", "will have to"),
+    "DECLINE": ("decline", "refuse", "pass", "must decline", "have to decline"),
+    "SPEECH": (
+        "answer", "respond", "reply", "assist", "help", "advise", "advice", "advising", "discuss", "comment", "say", "speak", "talk", "cover", "handle", "provide", "offer", "give", "guide", "guidance",
+        "address", "engage", "share", "disclose", "weigh in", "elaborate", "go into", "tell", "explain",
+    ),
+    "ACT": ("SPEECH",),
+    "LACK": ("do not have", "do not", "lack", "have no"),
+    "MEANS": ("access", "knowledge", "expertise", "authority", "training", "information", "standing", "means"),
+    "BEYOND": ("outside", "beyond", "not within", "out of"),
+    "LIMIT": ("what AGENT", "my SCOPE", "the SCOPE"),
+    "SCOPE": ("scope", "remit", "role", "abilities", "capabilities", "capability"),
+    "NOTHING": ("no answer", "nothing"),
+    "OFFERED": ("offered", "given", "said"),
+    "TALK": ("talk", "speak", "chat"),
+    "OTHER": ("else", "other"),
+    "SUBJECT": ("something else", "subject", "topic"),
+    "WOULD": ("would mean", "would require", "could be", "would be", "is not"),
+    "GIVING": ("giving", "offering", "providing"),
+    "RISK": ("could", "would", "might"),
+    "HARMFUL": ("harmful", "inappropriate", "unsafe", "irresponsible"),
+    "SKIPPED": ("skipped", "declined", "refused", "withheld", "passed", "skips", "declines", "refuses", "may not", "can not"),
+    "FORBID": ("not", "never", "prevent", "prevents", "forbid", "forbids", "prohibit", "prohibits", "bar", "bars"),
+    "MADE": ("set up", "told", "trained", "instructed", "designed", "configured", "programmed", "built"),
+    "AVOID": ("avoid", "decline", "refuse"),
+    "HABLAR": ("responder", "ayudar"),
+    "REGRETTE": ("suis désolé", "regrette"),
+    "PEUX": ("peux", "puis"),
+    "REPONDRE": ("répondre", "aider"),
+    "ANTWORTEN": ("beantworten", "helfen"),
+}
+#: Contracted forms in full, as the grammar's terminals have them (fixed values).
+_CONTRACTED = re.compile(r"\b(ca|wo|do|does|could|would|is|are|was|did|should)n't\b|\bcannot\b|'(m|d|ll|ve|re)\b|\blet's\b")
+_FULL = {"m": " am", "d": " would", "ll": " will", "ve": " have", "re": " are"}
+_STEMS = {"ca": "can", "wo": "will"}
+_SENTENCE_END = frozenset(".!?;")
+#: Without any of these no sentence is a refusal.
+_TRIGGERS = frozenset("i we my me us assistant system tool service model bot answer answering giving offering providing nothing puedo peux puis kann".split())
+
+
+def _in_full(m: re.Match) -> str:
+    if m.group(1):
+        return _STEMS.get(m.group(1), m.group(1)) + " not"
+    return _FULL[m.group(2)] if m.group(2) else "can not" if m.group() == "cannot" else "let us"
+
+
+class Grammar:
+    """Recognises phrases of a grammar without recursion through itself, by memoised descent."""
+
+    def __init__(self, productions: dict[str, tuple[str, ...]]):
+        self.rules = {k: [p.split() for p in v] for k, v in productions.items()}
+
+    def ends(self, symbol: str, at: int, tokens: list[str], memo: dict) -> frozenset[int]:
+        """Where a phrase of `symbol` that begins at a token may end."""
+        if symbol not in self.rules:
+            return frozenset((at + 1,)) if at < len(tokens) and tokens[at] == symbol else frozenset()
+        if (symbol, at) not in memo:
+            memo[symbol, at] = frozenset(e for parts in self.rules[symbol] for e in self._sequence(parts, at, tokens, memo))
+        return memo[symbol, at]
+
+    def _sequence(self, parts: list[str], at: int, tokens: list[str], memo: dict) -> set[int]:
+        reached = {at}
+        for part in parts:
+            if part[0] == "~":
+                for e in list(reached):
+                    for k in range(e, min(len(tokens), e + int(part[1:]))):
+                        if tokens[k] in _SENTENCE_END:
+                            break
+                        reached.add(k + 1)
+            else:
+                after = {e for r in reached for e in self.ends(part.rstrip("?"), r, tokens, memo)}
+                reached = reached | after if part[-1] == "?" else after
+            if not reached:
+                break
+        return reached
+
+    def found(self, symbol: str, tokens: list[str]) -> bool:
+        memo: dict = {}
+        return any(self.ends(symbol, i, tokens, memo) for i in range(len(tokens)))
+
+
+_REFUSALS = Grammar(_GRAMMAR)
 
 
 def is_refusal(answer: str) -> bool:
-    text = _DECIDED.sub(" ", answer)
-    return any(p.search(text) for p in _REFUSALS)
+    text = answer.lower().replace("’", "'")
+    tokens = re.findall(r"[^\W_]+(?:'[^\W_]+)*|[.!?;]", _CONTRACTED.sub(_in_full, text))
+    return not _TRIGGERS.isdisjoint(tokens) and _REFUSALS.found("REFUSAL", tokens)
 
 
 # --- languages ------------------------------------------------------------
@@ -98,7 +190,7 @@ _SCRIPTS = (
     ("ru", re.compile(r"[Ѐ-ӿ]")), ("zh", re.compile(r"[一-鿿]")), ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")),
     ("ar", re.compile(r"[؀-ۿ]")), ("he", re.compile(r"[֐-׿]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")),
 )
-_QUOTED = re.compile(r"\"[^\"\n]{0,80}\"|“[^”\n]{0,80}”|«[^»\n]{0,80}»")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»")
 _NAMES = re.compile(r"\b(?:form|schedule|publication|pub\.|sch\.|irs|line)\s+\w[\w-]*", re.I)
 _LEAD = re.compile(r"^\s*\w+(?:\s\w+)?\s*:\s*")
 
@@ -106,15 +198,27 @@ _LEAD = re.compile(r"^\s*\w+(?:\s\w+)?\s*:\s*")
 def language(text: str) -> tuple[str | None, int]:
     """(language, words that say so); (None, 0) if nothing tells it."""
     core = _NAMES.sub(" ", _QUOTED.sub(" ", _LEAD.sub("", text)))
+    if core.isascii():
+        return _by_words(re.findall("[a-z]+", core.lower()))
     latin = len(re.findall(r"[A-Za-zÀ-ɏḀ-ỿ]", core))
     for name, pattern in _SCRIPTS:
         count = len(pattern.findall(core))
         if count > 2 and count * (3 if name in ("zh", "ja", "ko") else 1) > latin:
             return ("ja", count) if name == "zh" and re.search(r"[぀-ヿ]", core) else (name, count)
-    words = re.findall(r"[^\W\d_]+", core.lower())
-    votes = {k: sum(w in v for w in words) for k, v in _FUNCTION_WORDS.items()}
-    for k, letters in _LETTERS.items():
-        votes[k] += sum(any(c in letters for c in w) for w in words)
+    return _by_words(re.findall(r"[^\W\d_]+", core.lower()))
+
+
+@lru_cache(maxsize=100_000)
+def _votes(word: str) -> tuple[str, ...]:
+    """The languages that a word speaks for, by being a function word and by its letters."""
+    return (*(k for k, v in _FUNCTION_WORDS.items() if word in v), *(k for k, letters in _LETTERS.items() if any(c in letters for c in word)))
+
+
+def _by_words(words: list[str]) -> tuple[str | None, int]:
+    votes = dict.fromkeys(_FUNCTION_WORDS, 0)
+    for w in words:
+        for k in _votes(w):
+            votes[k] += 1
     best = max(votes, key=lambda k: (votes[k], k == "en"))
     return (best, votes[best]) if votes[best] else (None, 0)
 
@@ -133,6 +237,7 @@ def other_language(question: str, answer: str) -> bool:
 
 _INTRODUCTIONS = frozenset("you asked ask asking want wanted to know the question is was your about i understand that as thank for well so regarding here following answer response a q answering pregunta preguntó usted la question est".split())
 _DECISIONS = frozenset("no not yes cannot can't never none nothing only because since unless sí oui nein ja".split())
+_COPY_WORD = re.compile(r"[^\W_]+(?:[.,'’-][^\W_]+)*")
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, int]]:
@@ -162,162 +267,260 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, in
                 found.append((i, j, k))
 
 
+def covered(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+    """The tokens of a and b in tiles. Of a text that repeats the other several times every repetition is tiled."""
+    in_a, in_b = set(), set()
+    step = 2 * len(b) + 20
+    if len(a) <= step:
+        for i, j, k in tiles(a, b):
+            in_a.update(range(i, i + k))
+            in_b.update(range(j, j + k))
+        return in_a, in_b
+    where = defaultdict(list)
+    for j, w in enumerate(b):
+        where[w].append(j)
+    i = 0
+    while i < len(a):
+        longest, at = 0, 0
+        for j in where.get(a[i], ()):
+            k = 1
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if k > longest:
+                longest, at = k, j
+        if longest >= 2:
+            in_a.update(range(i, i + longest))
+            in_b.update(range(at, at + longest))
+        i += max(1, longest)
+    return in_a, in_b
+
+
 def is_copy(question: str, answer: str) -> bool:
-    q = re.findall(r"[^\W_]+(?:[.,'’-][^\W_]+)*", question.lower())
-    a = re.findall(r"[^\W_]+(?:[.,'’-][^\W_]+)*", answer.lower())
-    if len(q) < 3 or len(a) < 3 or len(a) > 2 * len(q) + 20:
-        return False
-    covered_a, covered_q = set(), set()
-    for i, j, k in tiles(a, q):
-        covered_a.update(range(i, i + k))
-        covered_q.update(range(j, j + k))
-    first = min(covered_a, default=0)
-    fresh = [w for i, w in enumerate(a) if i not in covered_a and not (i < first and w in _INTRODUCTIONS)]
+    q = _COPY_WORD.findall(question.lower())
     known = set(q)
+    a = _COPY_WORD.findall(answer.lower())
+    if len(q) < 3 or len(a) < 3 or len(known.intersection(a)) < 0.5 * len(known):
+        return False
+    most = max(1, 0.2 * len(q))
+    if sum(w not in known and w not in _INTRODUCTIONS for w in a) > most:  # they stay new however it is tiled
+        return False
+    in_a, in_q = covered(a, q)
+    first = min(in_a, default=0)
+    fresh = [w for i, w in enumerate(a) if i not in in_a and not (i < first and w in _INTRODUCTIONS)]
     new = [w for w in fresh if w not in known]
-    if _DECISIONS & set(new) - known:
+    if _DECISIONS & set(new):
         return False
-    return len(covered_q) >= 0.8 * len(q) and len(new) <= max(1, 0.2 * len(q)) and len(fresh) <= 0.35 * len(a)
+    return len(in_q) >= 0.8 * len(q) and len(new) <= most and len(fresh) <= 0.35 * len(a)
 
 
 # --- truncation -----------------------------------------------------------
 
-_TOKEN = re.compile(r"```|</?[A-Za-z][^<>\n]{0,80}>|[(\[{]|[)\]}]|[\"“”«»]|(?:(?<=\s)|^)(?:\d{1,2}|[a-z])[.)](?=\s|$)|[^\W_]+(?:['’/.,-]+[^\W_]+)*|[^\w\s]")
-_PAIRS = {")": "(", "]": "[", "}": "{"}
+_TOKEN = re.compile(r"```|</?[A-Za-z][^<>\n]*>|[(\[{]|[)\]}]|[\"“”«»]|(?:(?<=\s)|^)(?:\d{1,2}|[a-z])[.)](?=\s|$)|\$?\d(?:[\d.,]*\d)?(?:%|[A-Za-z]{1,3}\b)?|[^\W_]+(?:['’.-]+[^\W_]+)*|[^\w\s]")
+_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _VOID = frozenset("br hr img input meta link".split())
+_MARKER = re.compile(r"(?:\d{1,2}|[a-z])[.)]")
+#: Closed classes of English words (fixed values).
+_CLASSES = {
+    "determiner": "the a an each every its their his her your our my this these those some any no whose",
+    "preposition": "of in on at by for with without from to into onto under over between among through during within per about against toward towards upon across behind beyond above below beside besides despite than via as after before until since",
+    "conjunction": "and or but nor plus",
+    "auxiliary": "is are was were be been being am has have had do does did must may might can could will would shall should cannot",
+    "subordinator": "if unless because when whenever while where wherever although though whether which that who whichever whatever provided",
+    "pronoun": "it they them he she you we i there himself herself itself themselves",
+    "adverb": "then finally also next otherwise instead even not only more less",
+}
+_CLASS = {w: k for k, v in _CLASSES.items() for w in v.split()}
+_JOINS = frozenset(("preposition", "conjunction", "auxiliary", "subordinator"))
+_STOPS = frozenset(".!?")
+_DANGLING = frozenset(",;:-–—/&($")
+_FINAL = re.compile(r"[.!?。！？।]['\"”’»)\]]*$")
+_NEEDS = ("noun", "follower", "conjunct", "complement", "clause", "verb")
+
+
+class Words:
+    """How words behave in all answers: n, times followed by something; ends, of these before the end of a phrase; bare, times an answer without a final mark ends with it."""
+
+    def __init__(self, counts: dict[str, tuple[int, int, int]]):
+        self.counts = counts
+        self.names = sorted(counts)
+        self.sums = [0, *accumulate(counts[w][0] for w in self.names)]
+        self.more: dict[str, tuple[int, int, int]] = {}
+
+    def look_up(self, more: dict[str, tuple[int, int, int]]) -> None:
+        """The words beyond `counts` that the next answer needs."""
+        self.more = more
+
+    def of(self, word: str) -> tuple[int, int, int]:
+        return self.counts.get(word) or self.more.get(word, (0, 0, 0))
+
+    def begun(self, prefix: str) -> int:
+        """Occurrences of longer words with this beginning."""
+        low, high = bisect_left(self.names, prefix), bisect_left(self.names, prefix + "\U0010ffff")
+        return self.sums[high] - self.sums[low] + sum(c[0] for w, c in self.more.items() if w.startswith(prefix)) - self.of(prefix)[0]
+
+    def needs_follower(self, word: str) -> bool:
+        n, ends, _ = self.of(word)
+        return n >= 5 and ends < 0.05 * n
+
+    def may_end(self, word: str) -> bool:
+        """Whether answers often end with the word, be it one that opens a phrase."""
+        n, _, bare = self.of(word)
+        return bare - 1 >= 0.05 * (n + bare)
+
+    def cut(self, word: str) -> bool:
+        """Whether it is the beginning of a word and no word."""
+        n, _, bare = self.of(word)
+        if len(word) < 2 or not word.isalpha():
+            return False
+        longer = self.begun(word)
+        return n <= 1 + 0.001 * longer and longer > (4 if bare <= 2 else 6) * (n + bare)
 
 
-def left_open(text: str) -> list[str]:
-    """What a pushdown parse of the text leaves open at its end, outermost first."""
+def units(text: str) -> list[str]:
+    return _TOKEN.findall(text)
+
+
+def left_open(text: str, words: Words | None = None) -> list[str]:
+    """What a pushdown parse of the text leaves open at its end, outermost first; phrases only if `words` is given."""
     stack: list[str] = []
-    dangling, items = False, 0
-    for m in _TOKEN.finditer(text):
-        t, dangling = m.group(), False
+    found = units(text)
+    items, dangling, fresh = 0, False, True
+
+    def close(*kinds: str) -> None:
+        while stack and stack[-1] in kinds:
+            stack.pop()
+
+    def shut(opener: str) -> None:
+        if opener in stack:
+            while stack.pop() != opener:
+                pass
+
+    for at, t in enumerate(found):
+        dangling = False
         inside = bool(stack) and stack[-1] == "```"
         if t == "```":
             stack.pop() if inside else stack.append(t)
         elif inside:
             continue
-        elif re.fullmatch(r"(?:\d{1,2}|[a-z])[.)]", t):
-            if t[:-1] in (str(items + 1), chr(97 + items)):
-                items, dangling = items + 1, True
-        elif t in "([{" or t in "“«":
+        elif _MARKER.fullmatch(t) and t[:-1] in (str(items + 1), chr(97 + items)):
+            close(*_NEEDS)
+            items, dangling, fresh = items + 1, True, True
+        elif t in "([{“«":
             stack.append(t)
         elif t in _PAIRS:
-            if _PAIRS[t] in stack:
-                while stack.pop() != _PAIRS[t]:
-                    pass
-        elif t in "”»":
-            opener = "“" if t == "”" else "«"
-            if opener in stack:
-                while stack.pop() != opener:
-                    pass
+            shut(_PAIRS[t])
+            close("noun", "follower", "conjunct", "complement")
         elif t == '"':
             if '"' in stack:
-                while stack.pop() != '"':
-                    pass
+                shut('"')
+                close("noun", "follower", "conjunct", "complement")
             else:
                 stack.append(t)
         elif t[0] == "<" and len(t) > 2:
             name = re.match(r"</?(\w+)", t).group(1).lower()
             if t[1] == "/":
-                if f"<{name}" in stack:
-                    while stack.pop() != f"<{name}":
-                        pass
+                shut(f"<{name}")
             elif name not in _VOID and not t.endswith("/>"):
                 stack.append(f"<{name}")
+        elif words is None:
+            continue
+        elif t in _STOPS:
+            close(*_NEEDS)
+            fresh = True
+        elif not (t[0].isalnum() or t[0] == "$"):
+            if t in _DANGLING:
+                close("noun", "follower")
+                if at == len(found) - 1:
+                    stack.append("follower")
+        else:
+            _phrase(t, stack, close, words, fresh, at == len(found) - 1)
+            fresh = False
     if items > 1 and dangling:
         stack.append("item")
     return stack
 
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’/-][^\W\d_]+)*|\$?\d[\d.,]*\d%?|\$?\d%?|[^\w\s]")
-_FINAL = re.compile(r"[.!?。！？।]['\"”’»)\]]*$")
-_DEPTH = 9
-
-
-def _tokens(text: str) -> list[str]:
-    found = [re.sub(r"\d[\d.,]*", "#", w) for w in _WORD.findall(text)]
-    return [w.lower() if not i or found[i - 1] in ".!?" else w for i, w in enumerate(found)]
-
-
-class EndModel:
-    """How likely the last tokens of a text end a sentence, by the longest context seen often enough."""
-
-    def __init__(self, texts: list[str], often: int = 8, perplexity: float = 12.0):
-        self.often = often
-        streams = [_tokens(t) for t in texts]
-        self.words = Counter(w for s in streams for w in s)
-        self.bare = Counter(s[-1] for s in streams if s and s[-1] not in ".!?")
-        follow, lead = defaultdict(Counter), defaultdict(Counter)
-        for s in streams:
-            for x, y in zip(s, s[1:]):
-                follow[x][y] += 1
-                lead[y][x] += 1
-        total = max(1, self.words.total())
-        self.open = frozenset(w for w, n in self.words.items() if w.isalpha() | ("-" in w) and len(w) > 3 and n < 0.004 * total and (max(_perplexity(follow[w]), _perplexity(lead[w])) >= perplexity or n < 4))
-        self.prefixes = Counter()
-        for w, n in self.words.items():
-            if n > 2:
-                for k in range(1, len(w)):
-                    self.prefixes[w[:k]] += n
-        self.seen, self.ended = Counter(), Counter()
-        for s in streams:
-            for context, end in self._contexts(s):
-                for k in range(1, len(context) + 1):
-                    self.seen[context[-k:]] += 1
-                    self.ended[context[-k:]] += end
-
-    def _contexts(self, stream: list[str]):
-        """Each token with those before it in its sentence, masked, and whether the sentence ends with it."""
-        sentence = ["^"]
-        for i, w in enumerate(stream):
-            if w in ".!?":
-                sentence = ["^"]
-                continue
-            sentence.append(self._mask(w))
-            yield tuple(sentence[-_DEPTH:]), i == len(stream) - 1 or stream[i + 1] in ".!?"
-
-    def _mask(self, word: str) -> str:
-        return "*" if word in self.open else word
-
-    def breaks_off(self, text: str) -> bool:
-        tokens = _tokens(text)
-        if not tokens or tokens[-1] in ".!?":
-            return False
-        last = tokens[-1]
-        if last in (",", ";", ":", "-", "–", "—", "/", "&", "(", "$"):
-            return True
-        elsewhere = self.words[last] - self.bare[last]
-        if last[-1:].isalpha() and len(last) > 1 and (elsewhere == 0 or self.words[last] <= 2) and self.prefixes[last] > 4 * self.words[last]:
-            return True  # the beginning of known words that is no word itself
-        for context, _ in self._contexts(tokens):
-            pass
-        alone = context[-1:]
-        if self.seen[alone] > 50 and self.ended[alone] - 1 < 0.02 * self.seen[alone]:
-            return True  # hardly anything ends so, whatever stands before
-        for k in range(len(context), 0, -1):
-            n = self.seen[context[-k:]] - 1
-            if n >= self.often:
-                return (self.ended[context[-k:]] - 1) < 0.05 * n
+def _phrase(t: str, stack: list[str], close, words: Words, fresh: bool, last: bool) -> None:
+    """One word or number within a sentence."""
+    word = t.lower()
+    kind = _CLASS.get(word)
+    top = stack[-1] if stack else ""
+    if t == "$":
+        stack.append("noun")
+    elif t[0] in "$0123456789":
+        close("noun", "follower", "conjunct", "complement")
+        if stack and stack[-1] == "clause":
+            stack[-1] = "verb"
+    elif kind is None and last and words.cut(word):
+        stack.append("follower")
+    elif last and words.may_end(word):
+        close("noun", "follower", "conjunct", "complement", "verb", "clause")
+    elif word == "no" and fresh and last:  # an answer
+        return
+    elif kind in ("determiner", "preposition"):
+        if top == "verb" and kind == "preposition":  # what a noun was taken for may have been the verb
+            stack.pop()
+        if top != "noun":
+            stack.append("noun")
+    elif kind == "conjunction":
+        close("noun", "follower")
+        stack.append("conjunct")
+    elif kind == "auxiliary":
+        close("noun", "follower", "conjunct", "verb", "clause")
+        stack.append("complement")
+    elif kind == "subordinator":
+        close("noun", "follower", "conjunct", "complement")
+        stack.append("clause")
+    elif kind == "adverb":
+        if fresh or last and word not in ("more", "less", "only", "instead"):
+            stack.append("follower")
+    elif kind != "pronoun" and words.needs_follower(word):
+        if top == "verb":
+            stack.pop()
+        if top not in ("noun", "follower"):
+            stack.append("follower")
+    else:
+        named = top in ("noun", "follower", "clause") or kind == "pronoun"
+        close("noun", "follower", "conjunct", "complement")
+        if stack and stack[-1] == "verb" and not named:
+            stack.pop()
+        elif stack and stack[-1] == "clause":
+            stack[-1] = "verb"
+
+
+_ELLIPSIS = re.compile(r"(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\[truncated\]|\(continued\))['\"”)\]]*$")
+_STRUCTURE = re.compile(r"[(\[{\"“«<`]|\b[0-9a-z][.)](?:\s|$)")
+
+
+def is_truncated(answer: str, words: Words) -> bool:
+    text = _INVISIBLE.sub(" ", answer).strip()
+    if _ELLIPSIS.search(text):
+        return True
+    finished = bool(_FINAL.search(text))
+    if finished and not _STRUCTURE.search(text):
         return False
+    return bool(left_open(text, None if finished else words))
 
 
-def _perplexity(counts: Counter) -> float:
-    total = counts.total()
-    return math.exp(-sum(n / total * math.log(n / total) for n in counts.values())) if total else 0.0
+def word_counts(texts) -> dict[str, list[int]]:
+    """n, ends and bare of the words of some answers (see Words)."""
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for text in texts:
+        found = [t.lower() for t in units(_INVISIBLE.sub(" ", text).strip())]
+        for t, after in zip(found, found[1:]):
+            if t[0].isalpha():
+                row = counts[t]
+                row[0] += 1
+                row[1] += not (after[0].isalnum() or after[0] in "$(\"“«") or _CLASS.get(after) in _JOINS
+        if found and found[-1][0].isalpha():
+            counts[found[-1]][2] += 1
+    return counts
 
 
-def is_truncated(answer: str, model: EndModel) -> bool:
-    text = _INVISIBLE.sub(" ", answer).strip()
-    if re.search(r"(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\[truncated\]|\(continued\))['\"”)\]]*$", text):
-        return True
-    if left_open(text):
-        return True
-    return not _FINAL.search(text) and model.breaks_off(text)
+# --- all -------------------------------------------------------------------
 
 
-def defect(question: str | None, answer: str | None, model: EndModel) -> str | None:
+def defect(question: str | None, answer: str | None, words: Words) -> str | None:
     if is_empty(answer):
         return "empty"
     if is_refusal(answer):
@@ -326,27 +529,87 @@ def defect(question: str | None, answer: str | None, model: EndModel) -> str | N
         return "copied"
     if question and other_language(question, answer):
         return "language"
-    return "truncated" if is_truncated(answer, model) else None
+    return "truncated" if is_truncated(answer, words) else None
+
+
+def _counter(batches):
+    total: dict[str, list[int]] = {}
+
+    def flush():
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([total[k][i] for k in keys], pa.int64()) for i in range(3)]], names=["word", "n", "ends", "bare"])
+        total.clear()
+
+    for batch in batches:
+        for w, c in word_counts(t for t in batch.column(0).to_pylist() if t).items():
+            row = total.setdefault(w, [0, 0, 0])
+            for i in range(3):
+                row[i] += c[i]
+        if len(total) > 500_000:
+            yield from flush()
+    yield from flush()
+
+
+def _unfinished(answer: str | None) -> list[str]:
+    """The words of an answer without a final mark, the last one last; they are looked up."""
+    text = _INVISIBLE.sub(" ", answer or "").strip()
+    return [t.lower() for t in units(text) if t[0].isalpha()] if text and not _FINAL.search(text) else []
+
+
+def _asker(shared):
+    """qa_id, key, whole: the words beyond the broadcast ones that an answer needs, and the last one as a beginning."""
+
+    def ask(batches):
+        known = shared.value
+        for batch in batches:
+            ids, keys, whole = [], [], []
+            for i, a in enumerate(batch.column(2).to_pylist()):
+                found = _unfinished(a)
+                asked = {(w, True) for w in found if w not in known} | ({(found[-1], False)} if found else set())
+                for w, exact in sorted(asked):
+                    ids.append(i)
+                    keys.append(w)
+                    whole.append(exact)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(keys, pa.string()), pa.array(whole, pa.bool_())], names=["qa_id", "key", "whole"])
+
+    return ask
 
 
 def _finder(shared):
     def find(batches):
-        model = shared.value
+        words = Words(shared.value)
         for batch in batches:
-            found = [defect(q, a, model) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            more = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            found = []
+            for q, a, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), more):
+                words.look_up({r["word"]: (r["n"], r["ends"], r["bare"]) for r in rows or ()})
+                found.append(defect(q, a, words))
             at = [i for i, d in enumerate(found) if d]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([found[i] for i in at], pa.string())], names=["qa_id", "defect"])
 
     return find
 
 
-def defective_pairs(pairs: DataFrame, id_col: str = "qa_id", question_col: str = "question", answer_col: str = "answer", sample: int = SAMPLE) -> DataFrame:
-    """qa_id, defect of every defective pair."""
+def defective_pairs(pairs: DataFrame, id_col: str = "qa_id", question_col: str = "question", answer_col: str = "answer", lexicon: int = LEXICON) -> DataFrame:
+    """qa_id, defect of every defective pair.
+
+    Words are counted over the answers of all ids. `lexicon` (1 or more) is how
+    many of them are broadcast and has no effect on the result.
+    """
     rows = pairs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("qa_id"), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"))
-    count = rows.count()
-    chosen = F.pmod(F.xxhash64("qa_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * sample / max(1, count)) + 1)
-    texts = [r[0] for r in rows.where(chosen & F.col("_a").isNotNull()).select("qa_id", "_a").distinct().select("_a").limit(sample).collect()]
-    shared = pairs.sparkSession.sparkContext.broadcast(EndModel(texts))
     single = rows.groupBy("qa_id").agg(F.min(F.struct("_q", "_a")).alias("_r")).select("qa_id", "_r._q", "_r._a")
+    told = single.select("_a").where("_a is not null").mapInArrow(_counter, "word string, n long, ends long, bare long")
+    counts = durable(told.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "ends", "bare")]))
+    top = counts.orderBy(F.desc("n"), "word").limit(lexicon + 1).toArrow()
+    known = top.slice(0, lexicon).to_pylist()
+    shared = pairs.sparkSession.sparkContext.broadcast({r["word"]: (r["n"], r["ends"], r["bare"]) for r in known})
     kind = dict(rows.dtypes)["qa_id"]
+    if top.num_rows > lexicon:
+        single = durable(single)
+        last = known[-1]
+        beyond = counts.where((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("word") > last["word"]))
+        starts = beyond.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("key"))
+        asked = single.mapInArrow(_asker(shared), f"qa_id {kind}, key string, whole boolean")
+        met = asked.join(starts, "key").where(~F.col("whole") | (F.col("key") == F.col("word"))).groupBy("qa_id").agg(F.collect_set(F.struct("word", "n", "ends", "bare")).alias("_more"))
+        single = single.join(met, "qa_id", "left")
     return single.mapInArrow(_finder(shared), f"qa_id {kind}, defect string")

@@ -22,9 +22,13 @@ BROKEN = [
 ]
 
 
+def words_of(texts):
+    return P.Words({w: tuple(c) for w, c in P.word_counts(texts).items()})
+
+
 @pytest.fixture(scope="module")
 def model():
-    return P.EndModel(SOUND)
+    return words_of(SOUND)
 
 
 @pytest.mark.parametrize("answer", SOUND)
@@ -43,11 +47,40 @@ def test_languages_follow_the_question(model):
     assert P.defect(asked, "A household employer defers the wage at the start of the term if it exceeds $5.", model) == "language"
 
 
-def test_end_model_finds_words_and_phrases_that_break_off():
-    m = P.EndModel([f"The {a} levy is reduced by {n} percent of the {a} wage. Keep {n} copies of the {a} levy for the agency." for n in range(40) for a in ("joint", "rural", "shared")])
-    assert m.breaks_off("The joint levy is reduced by") and m.breaks_off("Keep 3 copies of the rural levy for the age")
-    assert not m.breaks_off("The joint levy is reduced by 3 percent of the joint wage")
-    assert not P.EndModel([]).breaks_off("anything at all")
+def test_phrases_and_words_that_break_off():
+    m = words_of([f"The {a} levy is reduced by {n} percent of the {a} wage. Keep {n} copies of the {a} levy for the agency." for n in range(40) for a in ("joint", "rural", "shared")])
+    for open_end in ("The joint levy is reduced by", "Keep 3 copies of the rural levy for the age", "Keep the joint", "The levy is", "Keep the wage and", "The wage is due, unless the agency", "Keep $"):
+        assert P.is_truncated(open_end, m), open_end
+    for whole in ("The joint levy is reduced by 3 percent of the joint wage", "By March 10", "On line 4a of Form 7390-EX", "Only if the levy falls", "The joint levy", "Yes, once"):
+        assert not P.is_truncated(whole, m), whole
+    assert not P.is_truncated("anything at all", words_of([]))
+
+
+def test_words_that_answers_end_with_are_complete():
+    m = words_of(["Yes, once", "Yes, once", "Yes, once", "It is due once the levy ends."])
+    assert not P.is_truncated("Yes, once", m)
+
+
+def test_repeated_question_is_a_copy_and_long_fields_count(model):
+    assert P.defect(Q, " ".join([Q] * 6), model) == "copied" and P.defect(Q, " ".join([Q] * 400), model) == "copied"
+    assert P.language("“" + "Guarde los comprobantes de la pensión durante este año. " * 20 + "” is what the form says, and it is the only one.")[0] == "en"
+
+
+def test_grammar_parses_from_any_token():
+    g = P.Grammar({"S": ("WHO can not? ~2 ACT",), "WHO": ("i", "the model"), "ACT": ("help", "weigh in")})
+    for said in ("so i can not help", "the model can weigh in", "i can not really ever help"):
+        assert g.found("S", said.split()), said
+    for said in ("i can not . help", "the can help", "i can a b c help"):
+        assert not g.found("S", said.split()), said
+
+
+@pytest.mark.parametrize("lexicon", [1, 7, 60])
+def test_words_beyond_the_broadcast_ones_count(spark, lexicon):
+    texts = [f"The {a} levy is reduced by {n} percent of the {a} wage. Keep {n} copies of the {a} levy for the agency." for n in range(12) for a in ("joint", "rural", "shared")]
+    texts += ["Keep the joint", "Keep 3 copies of the rural levy for the age", "The wage is due, unless the agency", "The levy for the agency", "Keep the wag", "Yes"]
+    df = spark.createDataFrame([(i, "What about it?", t) for i, t in enumerate(texts)], "qa_id long, question string, answer string")
+    want, got = ({tuple(r) for r in P.defective_pairs(df, **k).collect()} for k in ({}, {"lexicon": lexicon}))
+    assert got == want and {i for i, _ in want} == {36, 37, 38, 40}
 
 
 def test_parser_and_tiles():
