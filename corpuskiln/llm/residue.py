@@ -16,7 +16,7 @@ scores alone decide:
 
 The model is fitted on at most `sample` trusted records and spans, one for each
 form that they take anywhere in the table (digits and case aside), and `sample`
-unlabelled records, both the least by hash: bounds that don't grow with the data.
+unlabelled records, both chosen by hash where there are more: bounds that don't grow with the data.
 
 Null and blank texts give no row; repeated ids one row (the least kind). In an
 empty table nothing is found. Foreign and unknown words weigh for no class.
@@ -31,10 +31,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.functions.words import split_words
+from corpuskiln.session import durable
 
 KINDS = ("content", "placeholder", "filler", "error_page", "script_notice")
 SAMPLE = 10_000
@@ -47,10 +48,10 @@ SPAN = re.compile(
     r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|\$?\{[^{}\n]*\}|<<[^<>\n]*>>|<[^<>\n]*>|\[\[[^\[\]\n]*\]\]|\[[^\[\]\n]*\]|%\([^()\n]*\)[a-z]|\([^()\n]*\)"
     r"|@@\w+@@|__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__|%[A-Za-z]\w*%|#+[A-Za-z]\w*#+|\$?\bX[X,]*X(?:\.XX)?\b(?:[/-]X+)*|\b[a-z]{2}/[a-z]{2}/[a-z]{4}\b"
 )
-_MARKS = re.compile(r"[{<\[(]|@@|__|%[A-Za-z]|#[A-Za-z]|X[X,]|\b[a-z]{2}/[a-z]{2}/")
-#: The same without round brackets, which hold no trusted span.
-_OPENERS = re.compile(r"[{<\[]|@@|__|%[A-Za-z(]|#[A-Za-z]|X[X,]|\b[a-z]{2}/[a-z]{2}/")
-_PASSAGES = re.compile(r"(?<=[.!?。！？])\s+|\n+")
+#: Signs without which (and without round brackets) a text has no span.
+_SIGNS = ("{", "<", "[", "@@", "__", "%", "#", "XX", "X,", "/")
+#: Ends of sentences and lines; it begins with the blank, so that a search skips from blank to blank.
+_PASSAGES = re.compile(r"\s(?:(?<=[.!?。！？]\s)|(?<=\n))\s*")
 
 #: Forms of spans and phrases of messages that are trusted (fixed values).
 SEEDS: dict[str, tuple[str, ...]] = {
@@ -150,10 +151,10 @@ class Cut:
         self.cut: list[str] = []
         self.spans: list[bool] = []
         for i, text in enumerate(texts):
-            suspect = bool(_MARKS.search(text))
+            suspect = "(" in text or any(m in text for m in _SIGNS)
             for p in passages(text):
                 inside: list[str] = []
-                rest = SPAN.sub(lambda m: inside.append(m.group()) or " ", p) if suspect and _MARKS.search(p) else p  # noqa: B023
+                rest = SPAN.sub(lambda m: inside.append(m.group()) or " ", p) if suspect and ("(" in p or any(m in p for m in _SIGNS)) else p  # noqa: B023
                 if not rest.isspace():
                     self.owners.append(i)
                     self.cut.append(rest)
@@ -288,22 +289,28 @@ def _trusting(seeds: Seeds):
                 kind = seeds.kind(text)
                 if kind > 0:
                     found.setdefault((kind, _form(text)), text)
-                elif _OPENERS.search(text):
+                elif seeds.field.search(text):
                     for span in SPAN.findall(text):
-                        if span[0] != "(" and seeds.field.fullmatch(span):
+                        if seeds.field.fullmatch(span):
                             found.setdefault((1, _form(span)), span)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([f for _, f in found], pa.string()), pa.array(list(found.values()), pa.string())], names=["kind", "form", "text"])
 
     return trust
 
 
+def _some(rows: DataFrame, place: Column, most: int) -> DataFrame:
+    """All of at most 0.9 `most` rows, else about as many, chosen by hash; never more than `most`."""
+    share = min(1.0, 0.9 * most / max(1, rows.count()))
+    return rows.where(F.pmod(place, F.lit(1_000_000_000)) < int(1_000_000_000 * share)).limit(most)
+
+
 def residue(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seeds: Seeds | None = None) -> DataFrame:
     """doc_id, kind of every record that holds residue in place of content."""
     seeds = seeds or Seeds()
     rows = documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    forms = rows.select("_text").mapInArrow(_trusting(seeds), "kind int, form string, text string").groupBy("kind", "form").agg(F.min("text").alias("text"))
-    trusted = [(r[0], r[1]) for r in forms.orderBy(F.xxhash64("kind", "form"), "form").limit(sample).select("kind", "text").collect()]
-    texts = [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "_text").limit(sample).select("_text").collect()]
+    forms = durable(rows.select("_text").mapInArrow(_trusting(seeds), "kind int, form string, text string").groupBy("kind", "form").agg(F.min("text").alias("text")))
+    trusted = [tuple(r) for r in _some(forms, F.xxhash64("kind", "form"), sample).select("kind", "text").collect()]
+    texts = [r[0] for r in _some(rows, F.xxhash64("doc_id"), sample).select("_text").collect()]
     shared = documents.sparkSession.sparkContext.broadcast(fit(texts, seeds, trusted))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_judge(shared), f"doc_id {kind}, kind string").groupBy("doc_id").agg(F.min("kind").alias("kind"))
