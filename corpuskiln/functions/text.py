@@ -68,11 +68,8 @@ def page_lines(text: Column | str) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-#: How a heading may begin (fixed values).
-_HEADING_STARTS = "|".join((
-    r"part\s+[ivxlcdm0-9]+", r"chapter\s+\d+", r"section\s+\d+", r"line\s+\d+", "general instructions", "specific instructions",
-    "worksheet", "purpose of", "who must", "what'?s new", "definitions", "exceptions?",
-))
+#: How a heading may begin (fixed value).
+HEADING_START = r"^(?:part\s+[ivxlcdm0-9]+|chapter\s+\d+|section\s+\d+|line\s+\d+|general instructions|specific instructions|worksheet|purpose of|who must|what'?s new|definitions|exceptions?)\b"
 
 
 def is_heading(line: Column | str) -> Column:
@@ -80,10 +77,41 @@ def is_heading(line: Column | str) -> Column:
     x = F.coalesce(_col(line), F.lit(""))
     letters = F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
     capitals = F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
-    starts = x.rlike(rf"(?iU)^(?:{_HEADING_STARTS})\b")
+    starts = x.rlike("(?iU)" + HEADING_START)
     return (F.length(x) > 0) & (F.length(x) <= 110) & (x.endswith(":") | starts | ((letters >= 6) & (capitals >= letters * 0.85)))
 
 
+def page_sections(text: Column | str, page: Column | str, least: int = 120, most: int | None = 20) -> Column:
+    """array<struct<heading, text>> of a page: its first `most` sections (None: all).
+
+    A heading begins a section if there is text since the last one began, else
+    it is text. Sections of fewer than `least` characters are left out; if none
+    is left, the page is one section under its last heading, if long enough.
+
+    The lines' kinds are a string of letters, in which a run of headings is
+    paired off: every second one begins a section.
+    """
+    lines = page_lines(text)
+    kinds = F.array_join(F.transform(lines, lambda x: F.when(is_heading(x), F.lit("h")).otherwise(F.lit("t"))), "")
+    marks = F.replace(F.replace(F.regexp_replace(kinds, "^h", "t"), F.lit("hh"), F.lit("st")), F.lit("h"), F.lit("s"))
+    # \x01 begins a section and \x02 ends its heading.
+    marked = F.transform(lines, lambda x, i: F.when(marks.substr(i + 1, F.lit(1)) == "s", F.concat(F.lit("\x01"), F.substring(x, 1, 120), F.lit("\x02"))).otherwise(F.concat(x, F.lit("\n"))))
+    first = F.concat(F.lit("Page "), (F.col(page) if isinstance(page, str) else page).cast("string"))
+    groups = F.transform(
+        F.split(F.array_join(marked, ""), "\x01"),
+        lambda g, i: F.struct(
+            F.when(i == 0, first).otherwise(F.substring_index(g, "\x02", 1)).alias("heading"),
+            F.replace(F.rtrim(F.replace(F.substring_index(g, "\x02", -1), F.lit("\n"), F.lit(" "))), F.lit("\n"), F.lit(" ")).alias("text"),
+        ),
+    )
+    kept = F.filter(groups, lambda g: F.length(g["text"]) >= least)
+    if most is not None:
+        kept = F.slice(kept, 1, most)
+    whole = F.array_join(lines, " ")
+    spare = F.when(F.length(whole) >= least, F.array(F.struct(F.element_at(groups, -1)["heading"].alias("heading"), whole.alias("text"))))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.coalesce(spare, F.array().cast("array<struct<heading:string,text:string>>")))
+
+
 def topic_words(text: Column | str, least: int = 4) -> Column:
     """Distinct lower-case runs of `least` or more ASCII letters."""
     found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(rf"([a-zA-Z]{{{least},}})"), 1)
@@ -92,15 +120,15 @@ def topic_words(text: Column | str, least: int = 4) -> Column:
 
 #: Words that a query isn't searched for (fixed values).
 STOP_WORDS = (
-    "about after also and any are can for from how into its like line lines more that the "
-    "their them then there these this those what when where which with would your"
-).split()
+    "about", "after", "also", "and", "any", "are", "can", "for", "from", "how", "into", "its", "like", "line", "lines", "more", "that", "the",
+    "their", "them", "then", "there", "these", "this", "those", "what", "when", "where", "which", "with", "would", "your",
+)
 
 
 def query_terms(text: Column | str) -> Column:
     """Lower-case words of two or more ASCII letters or digits without stop words; repeats kept."""
     found = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(r"(?U)\b([a-z0-9]{2,})\b"), 1)
-    return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def shortened(text: Column | str, length: int) -> Column:

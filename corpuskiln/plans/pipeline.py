@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import refs, text
-from corpuskiln.operators import audit, graph, linking, vectors
+from corpuskiln.operators import audit, graph, linking, order, vectors
 
 VERSION = 1
 
@@ -60,11 +60,11 @@ def annotated(chunks: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def split(chunks: DataFrame, limit: int = 2_000) -> DataFrame:
-    """Chunks longer than `limit` in parts of whole sentences: ids end in _0, _1, …; all else is the chunk's own."""
+    """Chunks longer than `limit` in parts of whole sentences: ids end in _0, _1, …; chunk_ord is numbered anew, all else is the chunk's own."""
     parts = chunks.withColumn("_parts", text.packed_sentences("text", limit))
     rows = parts.select(*[c for c in chunks.columns if c != "text"], F.size("_parts").alias("_n"), F.posexplode_outer("_parts").alias("_i", "text"))
-    numbered = rows.withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("_"), F.col("_i").cast("string"))).otherwise(F.col("id")))
-    return numbered.withColumn("chunk_ord", F.col("chunk_ord") * 1_000 + F.coalesce("_i", F.lit(0))).select(*chunks.columns)
+    rows_of = rows.withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("_"), F.col("_i").cast("string"))).otherwise(F.col("id")))
+    return order.numbered(rows_of, "chunk_ord", "_i", "id").select(*chunks.columns)
 
 
 def build(spark: SparkSession, chunks: DataFrame, labels: dict[str, str], folder: str, inputs: object, embed: Callable | None = None, strict: bool = True, curated: DataFrame | None = None, curated_pairs: DataFrame | None = None) -> dict:

@@ -89,10 +89,10 @@ def page_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Page texts parsed into sections, windows and chunks. A page here is all chunks of its number, so the limit of a printed page's sections does not hold."""
-    rows = table(spark, folder, "chunks").where("page_start is not null and text is not null").groupBy("source", F.col("page_start").alias("page"))
-    pages = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("hierarchy", "text"))), lambda s: s["text"]), "\n").alias("text"))
-    return documents.chunks_of_pages(pages.withColumn("file", F.concat("source", F.lit(".pdf"))), source_labels(spark, folder), most=None).select("id", "section_id", "title", "text", "page_start")
+    """The text of each PDF chunk, as a page of its own, parsed into sections, windows and chunks."""
+    rows = table(spark, folder, "chunks").where("page_start is not null and text is not null").select("source", F.col("page_start").alias("page"), "hierarchy", "text").distinct()
+    pages = rows.withColumn("file", F.concat_ws(":", "hierarchy", F.md5("text")))
+    return documents.chunks_of_pages(pages, source_labels(spark, folder)).select("id", "section_id", "title", "text", "page_start")
 
 
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import text
 from corpuskiln.operators import generation
 from corpuskiln.plans import pipeline
 from corpuskiln.sources import cases, documents
@@ -24,8 +25,8 @@ STATUTE = f"""<lawDoc {NS}><main><subtitle identifier="/us/usc/t26/stA">
 
 def test_statute_chunks():
     made = list(documents.statute_chunks(STATUTE.encode(), 100))
-    assert [(c["section_id"], c["title"], c["parent_id"]) for c in made] == [("26 USC §1", "Tax imposed", None), ("26 USC §2(a)", "Long - First", "26 USC §2"), ("26 USC §2(b)", "Long", "26 USC §2")]
-    assert made[0]["text"] == "Tax imposed one two three tail x y" and made[0]["cross_refs"] == ["26 USC §61(a)"]
+    assert [(c["section_id"], c["title"], c["parent_id"]) for c in made] == [("/us/usc/t26/stA/s1", "Tax imposed", None), ("/us/usc/t26/stA/s2/a", "Long - First", "/us/usc/t26/stA/s2"), ("/us/usc/t26/stA/s2/b", "Long", "/us/usc/t26/stA/s2")]
+    assert made[0]["text"] == "Tax imposed one two three tail x y" and made[0]["cross_refs"] == ["/us/usc/t26/s61/a"]
     assert made[0]["id"] == documents.short_hash("/us/usc/t26/stA/s1")
     with pytest.raises(ValueError):
         list(documents.statute_chunks(b"<a/>"))
@@ -38,24 +39,43 @@ def test_publication_chunks():
     assert [(c["section_id"], c["parent_id"]) for c in made] == [("IRS Pub. 596: Intro", None), ("IRS Pub. 596: Intro [c]", "IRS Pub. 596: Intro"), ("IRS Pub. 596: Intro [d]", None), ("IRS Pub. 596: Intro [d]#2", None)]
 
 
-def test_pages_sections_windows():
+def test_pages_sections_windows(spark):
     body = "This sentence is of middling length for a page. " * 4
-    lines = documents.clean_lines(f"TITLE OF THE PAGE\n{body}\nWho must file:\n{body}\nsepa-\nrated")
-    found = documents.page_sections(lines, 7)
-    assert [h for h, _ in found] == ["Page 7", "Who must file:"] and found[0][1].startswith("TITLE") and found[1][1].endswith("separated")
-    assert documents.page_sections(["x"], 1) == []
-    text = " ".join(f"Sentence number {i} is here." for i in range(100))
-    cut = documents.windows(text, 300, 60)
+    pages = {1: f"TITLE OF THE PAGE\n{body}\nWho must file:\n{body}\nsepa-\nrated", 2: "x", 3: None, 4: f"{body}\nPURPOSE OF IT\nDEFINITIONS\nLINE 3\n{body}", 5: "\n".join(f"Line {i}\n{body}" for i in range(1, 25))}
+    df = spark.createDataFrame([(p, t) for p, t in pages.items()], "page int, t string")
+    found = {r["page"]: r["s"] for r in df.select("page", text.page_sections("t", "page").alias("s")).collect()}
+    assert [x["heading"] for x in found[1]] == ["Page 1", "Who must file:"] and found[1][0]["text"].startswith("TITLE") and found[1][1]["text"].endswith("separated")
+    assert found[2] == [] and found[3] == [] and [x["heading"] for x in found[4]] == ["Page 4", "LINE 3"]
+    assert len(found[5]) == 20 and len(df.where("page = 5").select(text.page_sections("t", "page", most=None).alias("s")).first()["s"]) == 24
+    said = " ".join(f"Sentence number {i} is here." for i in range(100))
+    cut = documents.windows(said, 300, 60)
     assert all(len(w) <= 300 + 60 for w in cut) and cut[0].split(". ")[-1].rstrip(".") in cut[1]
-    assert {s.rstrip(".") for w in cut for s in w.split(". ")} == {s.rstrip(".") for s in text.split(". ")}
+    assert {s.rstrip(".") for w in cut for s in w.split(". ")} == {s.rstrip(".") for s in said.split(". ")}
     assert documents.windows("short") == ["short"]
-    chunks = list(documents.page_chunks([(1, f"{body}\n{body}"), (2, None)], "p17", "p17.pdf", "IRS Pub. 17"))
+    rows = spark.createDataFrame([("p17", "p17.pdf", 1, f"{body}\n{body}"), ("p17", "p17.pdf", 2, None), ("p17", "p17.pdf", 3, "GENERAL NOTES:\n" + body * 30)], "source string, file string, page int, text string")
+    chunks = documents.chunks_of_pages(rows, {"p17": "IRS Pub. 17"}).orderBy("place").collect()
     assert chunks[0]["section_id"] == "IRS Pub. 17: p001 s01 Page 1" and chunks[0]["metadata"]["window_index"] == 1
+    names = [c["section_id"] for c in chunks[1:]]
+    assert len(names) > 3 and names[:3] == ["IRS Pub. 17: p003 s01 Page 3", "IRS Pub. 17: p003 s01 Page 3 [p3]", "IRS Pub. 17: p003 s01 Page 3 [p3]#2"]
+    assert chunks[0]["id"] == documents.short_hash("p17:p17.pdf:p1:s1:w1")
+
+
+def test_order_depends_on_no_partition(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.xml").write_text(STATUTE.replace("stA/s1", f"stA/s1{name.upper()}"))
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    for i in range(7):
+        (plain / f"section{i}").write_text(f"Text {i}")
+    statute, files = documents.read_statute(spark, f"{tmp_path}/*.xml", 100), documents.read_plain(spark, str(plain))
+    one = [(r["chunk_ord"], r["section_id"]) for r in documents.streams(statute, files).orderBy("chunk_ord").collect()]
+    two = [(r["chunk_ord"], r["section_id"]) for r in documents.streams(statute.repartition(5), files.repartition(6)).orderBy("chunk_ord").collect()]
+    assert one == two and [n for n, _ in one] == list(range(13)) and one[0][1] == "26 USC §1A" and one[6][1] == "SARA Source: 26 USC §0"
 
 
 def test_readers(spark, tmp_path):
     (tmp_path / "usc.xml").write_text(STATUTE)
-    chunks = documents.read_statute(spark, str(tmp_path / "usc.xml"), 100).orderBy("chunk_ord").collect()
+    chunks = documents.read_statute(spark, str(tmp_path / "usc.xml"), 100).orderBy("place").collect()
     assert [c["section_id"] for c in chunks] == ["26 USC §1", "26 USC §2(a)", "26 USC §2(b)"] and chunks[0]["cross_refs"] == ["26 USC §61(a)"]
     plain = tmp_path / "plain"
     plain.mkdir()
@@ -74,7 +94,9 @@ def test_readers(spark, tmp_path):
     paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "k")).select("path")
     catalog = documents.discover(paths, ("i1040nr",))
     assert {(r["source"], r["format"], r["path"].rsplit("/", 1)[-1]) for r in catalog.collect()} == {("p17", "xml", "p17.xml"), ("p596", "xml", "p596.xml")}
-    assert [r["section_id"] for r in documents.read_publications(spark, catalog, {"p17": "IRS Pub. 17"}).collect()] == ["IRS Pub. 17: H"]
+    assert [r["section_id"] for r in documents.read_publications(spark, str(tmp_path / "k"), catalog, {"p17": "IRS Pub. 17"}).collect()] == ["IRS Pub. 17: H"]
+    failed = documents.publication_errors(spark, str(tmp_path / "k"), catalog, {}).collect()
+    assert [(r["source"], r["error"].split(":")[0]) for r in failed] == [("p596", "ParseError")]
     assert documents.source_key("P17--2024.pdf") == "p17" and documents.source_key("readme.pdf") is None
 
 
