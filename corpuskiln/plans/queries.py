@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.plans import records, reference
+from corpuskiln.plans import oracles, records, reference
 
 _MODULES = (records, reference)
+_SQL = (*_MODULES, oracles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
+    return {name: sql for module in _SQL for name, sql in module.SQL.items()}

@@ -150,6 +150,15 @@ def curated_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return linking.curated_coverage(nodes, curated).distinct()
 
 
+def curated_cross_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-publication links from curated pairs of sources, here those that coverage edges join."""
+    nodes, _ = _graph(spark, folder)
+    of = nodes.where("source <> 'usc26'").select("section_id", "source")
+    a, b = of.select(F.col("section_id").alias("src"), F.col("source").alias("source_a")), of.select(F.col("section_id").alias("dst"), F.col("source").alias("source_b"))
+    pairs = table(spark, folder, "edges").where("type = 'coverage'").join(a, "src").join(b, "dst").where("source_a <> source_b").select("source_a", "source_b").distinct()
+    return linking.curated_cross_source(nodes, pairs).distinct()
+
+
 def bfs_hops(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes within two links of each statute root."""
     edges = table(spark, folder, "edges").where("src is not null and dst is not null")
@@ -214,15 +223,6 @@ def _blended(asked: DataFrame, v: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def hybrid_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Vector hits blended with scores of every seventh row of the query's own label group, as its SQL has it."""
-    rows, asked = _vectors(spark, folder)
-    v = vectors.top_k(rows, asked, 20).select("query_id", F.concat(F.lit("v"), F.col("item").cast("string")).alias("section_id"), F.round("score", 4).alias("vector_score"))
-    labels = rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).where("query_id % 100 = 0")
-    g = rows.join(labels, F.col("label") == F.col("l")).where("vec_id % 7 = 0").select("query_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("section_id"), (0.3 + (F.col("vec_id") % 5) * 0.1).alias("graph_score"))
-    return _blended(asked, v, g)
-
-
-def hybrid_merge_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Vector hits blended with scores of all rows of the query's own label group.
 
     Queries of a label share its graph hits, so a label's best rows are ranked once. Of them
@@ -248,6 +248,30 @@ def entry_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.entry_nodes(_questions(spark, folder), graph.graph_nodes(table(spark, folder, "chunks")))
 
 
+def graph_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Entry nodes of held-out questions and all within two links of them, ranked."""
+    return retrieval.graph_hits(_questions(spark, folder), *_linked(spark, folder), 2).drop("snippet")
+
+
+def neighbour_priorities(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, edges = _linked(spark, folder)
+    asked = _questions(spark, folder)
+    pairs = retrieval.entry_nodes(asked, nodes).select("query_id", "node")
+    return retrieval.neighbour_priorities(asked, nodes, edges, pairs).withColumn("priority", F.round("priority", 6))
+
+
+def community_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """The communities that answer broad questions best; a community here is a source."""
+    nodes = durable(graph.graph_nodes(table(spark, folder, "chunks")))
+    groups = nodes.where("source <> ''").select("source").distinct().withColumn("community_id", F.row_number().over(Window.orderBy("source")) - 1)  # a few sources
+    found = audit.community_summaries(nodes, nodes.join(groups, "source").select("section_id", "community_id"))
+    cases = table(spark, folder, "eval_cases").where("item_id % 100 = 0")
+    short = cases.select(F.col("item_id").alias("query_id"), F.regexp_replace("question", r"\?.*$", "").alias("text"))
+    words = F.array_join(F.slice(F.regexp_extract_all("rubric", F.lit("([a-zA-Z]{5,})"), 1), 1, 8), " ")
+    asked = short.unionByName(cases.select((F.col("item_id") + 1000).alias("query_id"), F.concat(F.lit("the "), words).alias("text")))
+    return retrieval.community_hits(asked, found).drop("snippet")
+
+
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out questions answered by vector search over chunk texts blended with graph retrieval."""
     chunks = table(spark, folder, "chunks").where("section_id is not null and text is not null")
@@ -335,11 +359,6 @@ def _prompts(chunks: DataFrame) -> DataFrame:
 
 
 def prompt_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    """The prompt block of each statute section's chunks, as its SQL has it."""
-    return _prompts(table(spark, folder, "chunks").where("source = 'usc26'"))
-
-
-def prompt_assembly_whole(spark: SparkSession, folder: str) -> DataFrame:
     """The prompt block of each section's chunks, of any source."""
     return _prompts(table(spark, folder, "chunks"))
 
@@ -348,9 +367,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         usc_refs, irs_refs, query_refs, canonical_ids, ref_match_scores, source_counts, format_counts, source_precedence, sentence_split, chunk_greedy, slide_windows, page_lines, page_chunks, chunk_ids,
-        node_last_write, prefix_index, graph_edges, representatives, inferred_sections, inferred_pairs, linked_edges, curated_coverage, bfs_hops, components, audit_sources, audit_report, communities,
-        degree_top_subgraph, topic_overlap, vector_topk, dual_topk, hybrid_merge, hybrid_merge_whole, entry_nodes, hybrid_topk, retrieval_metrics, citation_metrics, rubric_totals, mode_summary, mode_deltas, case_winners,
-        judge_replies, answer_labels, prompt_assembly, prompt_assembly_whole,
+        node_last_write, prefix_index, graph_edges, representatives, inferred_sections, inferred_pairs, linked_edges, curated_coverage, curated_cross_source, bfs_hops, components, audit_sources, audit_report, communities,
+        degree_top_subgraph, topic_overlap, vector_topk, dual_topk, hybrid_merge, entry_nodes, graph_hits, neighbour_priorities, community_hits, hybrid_topk, retrieval_metrics, citation_metrics, rubric_totals, mode_summary, mode_deltas, case_winners,
+        judge_replies, answer_labels, prompt_assembly,
     )
 }
 
@@ -439,11 +458,6 @@ SELECT item_id, section_id, n, place FROM (SELECT *, row_number() OVER (PARTITIO
     "vector_topk": f"WITH {_TOP} SELECT query_id, item, round(s, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rank FROM top) WHERE rank <= 10",
     "dual_topk": f"WITH {_TOP}, a AS (SELECT query_id, item, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS n FROM top) WHERE n <= 10), b AS (SELECT query_id, item, greatest(r, 0.0) AS s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, item) AS n FROM top) WHERE n <= 10) SELECT query_id, item, round(max(s), 4) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL",
     "hybrid_merge": f"""WITH {_TOP}, v AS (SELECT query_id, 'v' || item AS section_id, round(s, 4) AS vs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS n FROM top) WHERE n <= 20),
-g AS (SELECT q.vec_id AS query_id, 'v' || i.vec_id AS section_id, 0.3 + (i.vec_id % 5) * 0.1 AS gs FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0 AND i.vec_id % 7 = 0),
-m AS (SELECT query_id, section_id, vs IS NULL AS only_g, CASE WHEN query_id % 200 = 0 THEN 0.35::DOUBLE ELSE 0.6::DOUBLE END AS al, coalesce(vs, 0.0)::DOUBLE AS vs, coalesce(gs, 0.0)::DOUBLE AS gs FROM v FULL JOIN g USING (query_id, section_id)),
-s AS (SELECT query_id, section_id, only_g, al * vs + (1 - al) * gs AS score FROM m)
-SELECT query_id, section_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, only_g, section_id) AS rank FROM s) WHERE rank <= 10""",
-    "hybrid_merge_whole": f"""WITH {_TOP}, v AS (SELECT query_id, 'v' || item AS section_id, round(s, 4) AS vs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS n FROM top) WHERE n <= 20),
 g AS (SELECT q.vec_id AS query_id, 'v' || i.vec_id AS section_id, 0.3 + (i.vec_id % 5) * 0.1 AS gs FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0),
 m AS (SELECT query_id, section_id, vs IS NULL AS only_g, CASE WHEN query_id % 200 = 0 THEN 0.35::DOUBLE ELSE 0.6::DOUBLE END AS al, coalesce(vs, 0.0)::DOUBLE AS vs, coalesce(gs, 0.0)::DOUBLE AS gs FROM v FULL JOIN g USING (query_id, section_id)),
 s AS (SELECT query_id, section_id, only_g, al * vs + (1 - al) * gs AS score FROM m)
@@ -459,6 +473,5 @@ SELECT item_id, round(coalesce(h, 0) / n, 4) AS recall_at_k, round(coalesce(1.0
     "case_winners": f"WITH {_RESULTS}, best AS (SELECT dataset, model, case_id, mode, max(earned) AS earned FROM results GROUP BY ALL) SELECT dataset, model, case_id, mode, earned FROM (SELECT *, row_number() OVER (PARTITION BY dataset, model, case_id ORDER BY earned DESC NULLS LAST, list_position(['none', 'vector', 'graph', 'hybrid'], mode)) AS rn FROM best) WHERE rn = 1",
     "judge_replies": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN round(value, 2) END AS earned, CASE WHEN event_id % 3 < 2 THEN 1.0 END AS total, CASE WHEN event_id % 3 < 2 THEN event_type END AS feedback, event_id % 3 = 2 AS failed FROM events",
     "answer_labels": f"SELECT event_id, nullif(trim(regexp_extract({_SAID}, '(?i)final\\s+answer\\s*:\\s*(.+)$', 1)), '') AS answer, (['entailment', 'contradiction', 'unknown', 'entailment', 'contradiction', 'contradiction', NULL])[CAST(event_id % 7 + 1 AS INTEGER)] AS label FROM events",
-    "prompt_assembly": "SELECT section_id, string_agg('[' || section_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id, text) AS prompt FROM (SELECT DISTINCT hierarchy, id, section_id, text FROM chunks WHERE source = 'usc26' AND text IS NOT NULL AND section_id IS NOT NULL) GROUP BY section_id",
-    "prompt_assembly_whole": "SELECT section_id, string_agg('[' || section_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id, text) AS prompt FROM (SELECT DISTINCT hierarchy, id, section_id, text FROM chunks WHERE text IS NOT NULL AND section_id IS NOT NULL) GROUP BY section_id",
+    "prompt_assembly": "SELECT section_id, string_agg('[' || section_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id, text) AS prompt FROM (SELECT DISTINCT hierarchy, id, section_id, text FROM chunks WHERE text IS NOT NULL AND section_id IS NOT NULL) GROUP BY section_id",
 }
