@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What asks for the third label (fixed value).
 UNKNOWN_ASKED = r"\b(?:unknown|indeterminate|cannot\s+determine|insufficient\s+information)\b"
 
 

@@ -10,6 +10,10 @@ from corpuskiln.functions import refs, text
 METRICS = ("answer_correct", "calculation_steps_present", "citation_fact_precision", "citation_fact_recall", "recall_at_k", "mrr", "recall_at_k_exact", "mrr_exact", "rouge1", "rouge2", "rougeL", "citation_precision", "grounding_rate")
 
 
+#: What marks a step of a calculation (fixed value).
+STEP_MARKS = r"(?i)(?:step\s*\d+|=|\+|-|\*|/|minus|plus|times|divide|therefore|final answer)"
+
+
 def _round(value: Column) -> Column:
     return F.round(value, 4)
 
@@ -108,7 +112,7 @@ def scored_cases(cases: DataFrame) -> DataFrame:
     rows = fact_citations(cases)
     answer = F.coalesce(text.final_answer("response"), F.col("response"), F.lit(""))
     numbers = text.numbers(answer)
-    steps = (F.size(text.numbers("response")) >= 2) & F.coalesce(F.col("response"), F.lit("")).rlike(r"(?i)(?:step\s*\d+|=|\+|-|\*|/|minus|plus|times|divide|therefore|final answer)")
+    steps = (F.size(text.numbers("response")) >= 2) & F.coalesce(F.col("response"), F.lit("")).rlike(STEP_MARKS)
     cited = (F.col("n_fact_refs") == 0) | (F.col("n_correct_cited_refs") > 0)
     kind, expected = F.col("expected_type"), F.col("expected")
     money = F.regexp_replace(expected, r"[$,\s]", "")
@@ -126,7 +130,7 @@ def scored_cases(cases: DataFrame) -> DataFrame:
 
 
 def mode_summary(results: DataFrame, metrics: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per dataset, model and mode: case counts, score_pct (summed earned over summed total), null-skipping means, unknown_rate."""
+    """One row per dataset, model and mode: case counts, verdicts that can't be read (of judge_failed), score_pct (summed earned over summed total), null-skipping means, unknown_rate."""
     kept = [m for m in (METRICS if metrics is None else metrics) if m in results.columns]
     label = F.col("predicted_label") if "predicted_label" in results.columns else F.lit(None).cast("string")
     scored = F.col("earned").isNotNull()
@@ -134,6 +138,7 @@ def mode_summary(results: DataFrame, metrics: tuple[str, ...] | None = None) ->
     return results.groupBy("dataset", "model", "mode").agg(
         F.count("*").alias("n_cases"),
         F.count("earned").alias("n_scored"),
+        *([F.count_if("judge_failed").alias("n_parse_errors")] if "judge_failed" in results.columns else []),
         _round(F.sum("earned") / F.nullif(total, F.lit(0.0)) * 100).alias("score_pct"),
         *[_round(F.avg(F.col(m).cast("double"))).alias(m) for m in kept],
         _round(F.avg(F.when(label.isNotNull(), (label == "unknown").cast("double")))).alias("unknown_rate"),
@@ -143,7 +148,7 @@ def mode_summary(results: DataFrame, metrics: tuple[str, ...] | None = None) ->
 def mode_deltas(summary: DataFrame, of: str = "hybrid", against: str = "none") -> DataFrame:
     """dataset, model and the difference of each measure between two modes; null where either is null."""
     keys = ["dataset", "model"]
-    measures = [c for c in summary.columns if c not in (*keys, "mode", "n_cases", "n_scored")]
+    measures = [c for c in summary.columns if c not in (*keys, "mode", "n_cases", "n_scored", "n_parse_errors")]
     a = summary.where(F.col("mode") == of).select(*keys, *[F.col(m).alias(f"_a_{m}") for m in measures])
     b = summary.where(F.col("mode") == against).select(*keys, *[F.col(m).alias(f"_b_{m}") for m in measures])
     return a.join(b, keys).select(*keys, *[_round(F.col(f"_a_{m}") - F.col(f"_b_{m}")).alias(m) for m in measures])

@@ -18,7 +18,7 @@ def numbered(df: DataFrame, *order: str, into: str = "chunk_ord") -> DataFrame:
     """
     columns = [c for c in df.columns if c != into]
     rows = durable(df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW)).alias("_row"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").select(*columns, (F.col("_start") + F.col("_row")).alias(into))
+    placed = rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW)).alias("__row"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").select(*columns, (F.col("__start") + F.col("__row")).alias(into))

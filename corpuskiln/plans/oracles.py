@@ -159,5 +159,5 @@ broad AS (SELECT query_id, text FROM q WHERE NOT regexp_matches(text, '(?i)(?:se
 asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '\\b([a-z0-9]{{2,}})\\b', 1)) AS word FROM broad),
 met AS (SELECT query_id, community_id, count(*) AS n FROM asked JOIN words USING (word) WHERE word NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY 1, 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, community_id) AS rn FROM met)
-SELECT query_id, 'community:' || community_id AS section_id, 'Community ' || community_id || ' (' || size || ' sections)' AS title, 'graph_community' AS source, 0.9 AS graph_score, -1 AS hop FROM best JOIN sizes USING (community_id) WHERE rn <= 3""",
+SELECT query_id, 'community:' || community_id AS section_id, 'Community ' || community_id || ' (' || size || ' sections)' AS title, 'graph_community' AS source, 0.9::DOUBLE AS graph_score, -1 AS hop FROM best JOIN sizes USING (community_id) WHERE rn <= 3""",
 }

@@ -306,6 +306,12 @@ def rubric_totals(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_cases").select("item_id", text.rubric_total("rubric").alias("total"), text.rubric_reference("rubric").alias("reference"))
 
 
+#: Metrics of made-up results, from the event's number modulo these.
+_MADE_METRICS = {
+    "calculation_steps_present": 2, "citation_fact_precision": 17, "citation_fact_recall": 19, "recall_at_k": 23, "recall_at_k_exact": 29, "mrr_exact": 31, "rouge1": 37, "rouge2": 41, "rougeL": 43, "citation_precision": 47, "grounding_rate": 53,
+}
+
+
 def _results(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events")
     kinds = Window.orderBy("event_type")
@@ -321,12 +327,14 @@ def _results(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") % 2).cast("double").alias("answer_correct"),
         F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(F.round((F.col("event_id") % 10) / 10, 4)).alias("mrr"),
         F.when(F.col("event_id") % 3 == 0, F.lit("unknown")).when(F.col("event_id") % 3 == 1, F.lit("entailment")).alias("predicted_label"),
+        (F.col("event_id") % 13 == 0).alias("judge_failed"),
+        *[F.when(F.col("event_id") % p != 0, F.round((F.col("event_id") % p) / p, 4)).alias(m) for m, p in _MADE_METRICS.items()],
         "event_id",
     )
 
 
 def mode_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.mode_summary(_results(spark, folder), ("answer_correct", "mrr"))
+    return evaluation.mode_summary(_results(spark, folder))
 
 
 def mode_deltas(spark: SparkSession, folder: str) -> DataFrame:
@@ -338,20 +346,6 @@ def case_winners(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.case_winners(best)
 
 
-def judge_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Judge replies built from events: fenced, bare and broken JSON."""
-    body = F.concat(F.lit('{"earned": '), F.round(F.col("value"), 2).cast("string"), F.lit(', "total": 1, "feedback": "'), F.col("event_type"), F.lit('"}'))
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, body).otherwise(F.lit("no verdict"))
-    reply = text.judge_reply(raw)
-    return table(spark, folder, "events").select("event_id", reply.alias("r")).select("event_id", "r.earned", "r.total", "r.feedback", "r.failed")
-
-
-def answer_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels read from replies built from events."""
-    said = F.element_at(F.array(*[F.lit(x) for x in ("Final Answer: Entailment", "So it is contradicted. Final answer: not entailed", "Cannot determine.", "FINAL ANSWER: True", "It contradicts the text", "final answer: no", "Nothing here")]), (F.col("event_id") % 7 + 1).cast("int"))
-    return table(spark, folder, "events").select("event_id", text.final_answer(said).alias("answer"), text.predicted_label(said).alias("label"))
-
-
 def _prompts(chunks: DataFrame) -> DataFrame:
     rows = chunks.where("text is not null and section_id is not null").select("hierarchy", "id", "section_id", "text").distinct()
     hits = rows.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("id", "section_id", "text"))).alias("hits"))
@@ -369,7 +363,7 @@ QUERIES = {
         usc_refs, irs_refs, query_refs, canonical_ids, ref_match_scores, source_counts, format_counts, source_precedence, sentence_split, chunk_greedy, slide_windows, page_lines, page_chunks, chunk_ids,
         node_last_write, prefix_index, graph_edges, representatives, inferred_sections, inferred_pairs, linked_edges, curated_coverage, curated_cross_source, bfs_hops, components, audit_sources, audit_report, communities,
         degree_top_subgraph, topic_overlap, vector_topk, dual_topk, hybrid_merge, entry_nodes, graph_hits, neighbour_priorities, community_hits, hybrid_topk, retrieval_metrics, citation_metrics, rubric_totals, mode_summary, mode_deltas, case_winners,
-        judge_replies, answer_labels, prompt_assembly,
+        prompt_assembly,
     )
 }
 
@@ -397,13 +391,14 @@ every AS (SELECT parent_id AS src, section_id AS dst, 'hierarchy' AS type, chunk
 edges_of AS (SELECT src, dst, arg_max(type, chunk_ord * 100000 + place) AS type FROM every GROUP BY src, dst),
 between AS (SELECT e.src, e.dst, a.source AS src_source, b.source AS dst_source FROM edges_of e JOIN nodes a ON e.src = a.section_id JOIN nodes b ON e.dst = b.section_id WHERE e.type = 'xref')"""
 _TOP = "top AS (SELECT q.vec_id AS query_id, i.vec_id AS item, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS s, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(list_reverse(i.embedding) AS DOUBLE[])) AS r FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0)"
-_RESULTS = """modes AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS n FROM (SELECT DISTINCT event_type FROM events)),
+_MADE = ", ".join(f"CASE WHEN event_id % {p} <> 0 THEN round((event_id % {p}) / {p}, 4) END AS {m}" for m, p in _MADE_METRICS.items())
+_MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in _MADE_METRICS)
+_RESULTS = f"""modes AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS n FROM (SELECT DISTINCT event_type FROM events)),
 results AS (SELECT 'events' AS dataset, 'm' || (user_id % 3) AS model, (['none', 'vector', 'graph', 'hybrid'])[CAST(n % 4 + 1 AS INTEGER)] AS mode, user_id AS case_id,
  CASE WHEN event_id % 11 <> 0 THEN round(value % 1, 4) END AS earned, CAST(event_id % 2 AS DOUBLE) AS answer_correct, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round((event_id % 10) / 10, 4) END AS mrr,
- CASE event_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'entailment' END AS predicted_label FROM events JOIN modes USING (event_type)),
-summary AS (SELECT dataset, model, mode, count(*) AS n_cases, count(earned) AS n_scored, round(sum(earned) / nullif(count(earned), 0) * 100, 4) AS score_pct, round(avg(answer_correct), 4) AS answer_correct, round(avg(mrr), 4) AS mrr,
+ CASE event_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'entailment' END AS predicted_label, event_id % 13 = 0 AS judge_failed, {_MADE} FROM events JOIN modes USING (event_type)),
+summary AS (SELECT dataset, model, mode, count(*) AS n_cases, count(earned) AS n_scored, count_if(judge_failed) AS n_parse_errors, round(sum(earned) / nullif(count(earned), 0) * 100, 4) AS score_pct, round(avg(answer_correct), 4) AS answer_correct, round(avg(mrr), 4) AS mrr, {_MEANS},
  round(avg(CASE WHEN predicted_label IS NOT NULL THEN CASE WHEN predicted_label = 'unknown' THEN 1.0 ELSE 0.0 END END), 4) AS unknown_rate FROM results GROUP BY ALL)"""
-_SAID = "(['Final Answer: Entailment', 'So it is contradicted. Final answer: not entailed', 'Cannot determine.', 'FINAL ANSWER: True', 'It contradicts the text', 'final answer: no', 'Nothing here'])[CAST(event_id % 7 + 1 AS INTEGER)]"
 _SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0b]"
 
 
@@ -469,9 +464,7 @@ hit AS (SELECT item_id, count(*) AS h, min(rank) AS r FROM got JOIN want USING (
 SELECT item_id, round(coalesce(h, 0) / n, 4) AS recall_at_k, round(coalesce(1.0 / r, 0.0), 4) AS mrr, round(coalesce(h, 0) / n, 4) AS recall_at_k_exact, round(coalesce(1.0 / r, 0.0), 4) AS mrr_exact FROM eval_cases LEFT JOIN size USING (item_id) LEFT JOIN hit USING (item_id)""",
     "rubric_totals": r"SELECT item_id, round(coalesce(list_sum(list_transform(regexp_extract_all(coalesce(rubric, ''), '\[\+([0-9]+(?:\.[0-9]+)?)\]', 1), lambda x: CAST(x AS DOUBLE))), 0.0), 4) AS total, trim(regexp_replace(coalesce(rubric, ''), '\[\+[0-9]+(?:\.[0-9]+)?\]\s*', '', 'g')) AS reference FROM eval_cases",
     "mode_summary": f"WITH {_RESULTS} SELECT * FROM summary",
-    "mode_deltas": f"WITH {_RESULTS} SELECT a.dataset, a.model, round(a.score_pct - b.score_pct, 4) AS score_pct, round(a.answer_correct - b.answer_correct, 4) AS answer_correct, round(a.mrr - b.mrr, 4) AS mrr, round(a.unknown_rate - b.unknown_rate, 4) AS unknown_rate FROM summary a JOIN summary b ON a.dataset = b.dataset AND a.model = b.model WHERE a.mode = 'hybrid' AND b.mode = 'none'",
+    "mode_deltas": f"WITH {_RESULTS} SELECT a.dataset, a.model, round(a.score_pct - b.score_pct, 4) AS score_pct, round(a.answer_correct - b.answer_correct, 4) AS answer_correct, round(a.mrr - b.mrr, 4) AS mrr, {', '.join(f'round(a.{m} - b.{m}, 4) AS {m}' for m in _MADE_METRICS)}, round(a.unknown_rate - b.unknown_rate, 4) AS unknown_rate FROM summary a JOIN summary b ON a.dataset = b.dataset AND a.model = b.model WHERE a.mode = 'hybrid' AND b.mode = 'none'",
     "case_winners": f"WITH {_RESULTS}, best AS (SELECT dataset, model, case_id, mode, max(earned) AS earned FROM results GROUP BY ALL) SELECT dataset, model, case_id, mode, earned FROM (SELECT *, row_number() OVER (PARTITION BY dataset, model, case_id ORDER BY earned DESC NULLS LAST, list_position(['none', 'vector', 'graph', 'hybrid'], mode)) AS rn FROM best) WHERE rn = 1",
-    "judge_replies": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN round(value, 2) END AS earned, CASE WHEN event_id % 3 < 2 THEN 1.0 END AS total, CASE WHEN event_id % 3 < 2 THEN event_type END AS feedback, event_id % 3 = 2 AS failed FROM events",
-    "answer_labels": f"SELECT event_id, nullif(trim(regexp_extract({_SAID}, '(?i)final\\s+answer\\s*:\\s*(.+)$', 1)), '') AS answer, (['entailment', 'contradiction', 'unknown', 'entailment', 'contradiction', 'contradiction', NULL])[CAST(event_id % 7 + 1 AS INTEGER)] AS label FROM events",
     "prompt_assembly": "SELECT section_id, string_agg('[' || section_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id, text) AS prompt FROM (SELECT DISTINCT hierarchy, id, section_id, text FROM chunks WHERE text IS NOT NULL AND section_id IS NOT NULL) GROUP BY section_id",
 }

@@ -6,10 +6,11 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.functions.refs import usc_refs
+from corpuskiln.operators.order import numbered
 
 CASE = "id string, context string, facts string, question string, expected string, expected_type string, test_goal string, test_goal_negated boolean, test_goal_numbers array<string>"
 
@@ -24,13 +25,14 @@ def read_rubrics(spark: SparkSession, path: str, limit: int | None = None) -> Da
 def read_references(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """id, question, rubric, context, source, filename of a table of reference answers, numbered in file order."""
     rows = spark.read.parquet(path).select("source", "filename", "context", "question", "answer", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    placed = rows.withColumn("_n", F.row_number().over(Window.orderBy("_file", "_row")) - 1)  # an evaluation set is small
+    placed = numbered(rows, "_file", "_row", into="_n")
     cases = placed.select(F.concat(F.lit("irs_qa_"), F.col("_n").cast("string")).alias("id"), "_n", "question", F.col("answer").alias("rubric"), "context", "source", "filename")
     return (cases.where(F.col("_n") < limit) if limit is not None else cases).drop("_n")
 
 
 # --- logic cases ----------------------------------------------------------
 
+#: Numbers of questions and of goals (fixed values).
 _NUMBER = re.compile(r"-?\$?\s*(\d[\d,]*(?:\.\d+)?)")
 _GOAL_NUMBER = re.compile(r"(?<![A-Za-z_])-?\d+(?:\.\d+)?")
 _LABEL = re.compile(r"\b(entailment|contradiction|unknown)\b", re.I)
