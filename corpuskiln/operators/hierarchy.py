@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 
 from corpuskiln.session import durable
 
+#: Links of a local forest: what one task holds.
+LINKS_PER_FOREST = 250_000
+#: Roots that are broadcast, by their counted number; more are joined by salted keys.
+BROADCAST_ROOTS = 200_000
+SALTS = 32
+
 
 def parent_links(df: DataFrame, node: str = "section_id", parent: str = "parent_id") -> DataFrame:
     """child, parent: one link for each node with a parent among the nodes.
@@ -75,14 +81,21 @@ def _local_forest(batches):
         )
 
 
-def roots(links: DataFrame, partitions: int | None = None) -> DataFrame:
+def _ends_joined(local: DataFrame, ends: DataFrame, count: int, most: int) -> DataFrame:
+    """local with the merged end of each local root. All nodes of a giant tree may name one root, so a root is no key by itself: few ends are broadcast, more are copied to every salt."""
+    if count <= most:
+        return local.join(F.broadcast(ends), "root", "left")
+    salted = ends.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return local.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "_salt"], "left").drop("_salt")
+
+
+def roots(links: DataFrame, partitions: int | None = None, broadcast_roots: int = BROADCAST_ROOTS) -> DataFrame:
     """node, root, depth for each child of links(child, parent), at most one row per child; root null and depth -1 on or below a loop.
 
-    `partitions` sets the number of local forests (default: the session's
-    shuffle partitions), which bounds what one task holds.
+    `partitions` sets the number of local forests; by default it follows from
+    the counted links, LINKS_PER_FOREST each.
     """
-    spark = links.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or max(1, -(-links.count() // LINKS_PER_FOREST))
     local = durable(
         links.select("child", "parent").repartitionByRange(count, "child").mapInArrow(_local_forest, "node string, root string, depth long")
     )
@@ -111,7 +124,7 @@ def roots(links: DataFrame, partitions: int | None = None) -> DataFrame:
         F.lit(True).alias("_inner"),
     )
     looped = F.col("root").isNull() | (F.col("_inner").isNotNull() & F.col("_root").isNull())
-    return local.join(ends, "root", "left").select(
+    return _ends_joined(local, ends, merged.count(), broadcast_roots).select(
         "node",
         F.when(~looped, F.coalesce("_root", "root")).alias("root"),
         F.when(looped, F.lit(-1)).otherwise(F.col("depth") + F.coalesce("_depth", F.lit(0))).cast("long").alias("depth"),

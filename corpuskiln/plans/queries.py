@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.plans import oracles, records, reference, scoring
+from corpuskiln.plans import oracles, parsing, records, reference, scoring
 
-_MODULES = (records, reference, scoring)
+_MODULES = (records, reference, parsing, scoring)
 _SQL = (*_MODULES, oracles)
 
 

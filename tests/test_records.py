@@ -86,6 +86,15 @@ def test_hierarchy_on_random_forests(spark, seed):
     assert {x["node"]: (x["root"], x["depth"]) for x in resolved.collect()} == brute_roots({x["child"]: x["parent"] for x in links.collect()})
 
 
+def test_a_giant_tree_has_no_hot_root(spark):
+    """One tree of all nodes: its ends are salted where they are too many to broadcast."""
+    star = [(f"s{i:03d}", "top") for i in range(300)] + [("top", None)] + [(f"t{i:03d}", f"s{i:03d}") for i in range(0, 300, 3)]
+    df = spark.createDataFrame(star, "section_id string, parent_id string")
+    links = hierarchy.parent_links(df)
+    found = {r["node"]: (r["root"], r["depth"]) for r in hierarchy.roots(links, 5, broadcast_roots=0).collect()}
+    assert found == brute_roots({r["child"]: r["parent"] for r in links.collect()})
+
+
 def test_hierarchy_of_an_empty_table(spark):
     links, resolved = solve(spark, [])
     assert resolved.count() == 0 and hierarchy.ancestor_chains(links, resolved).count() == 0
