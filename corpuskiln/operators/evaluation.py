@@ -145,6 +145,12 @@ def mode_summary(results: DataFrame, metrics: tuple[str, ...] | None = None) ->
     )
 
 
+def filtered(results: DataFrame, dataset: str | None = None, model: str | None = None) -> DataFrame:
+    """The results of one dataset and of the models whose names contain a text."""
+    found = results if dataset is None else results.where(F.col("dataset") == dataset)
+    return found if model is None else found.where(F.contains("model", F.lit(model)))
+
+
 def mode_deltas(summary: DataFrame, of: str = "hybrid", against: str = "none") -> DataFrame:
     """dataset, model and the difference of each measure between two modes; null where either is null."""
     keys = ["dataset", "model"]

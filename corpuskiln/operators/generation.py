@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.text import judge_reply
+from corpuskiln.functions.rouge import rouge
+from corpuskiln.functions.text import judge_reply, rubric_reference
 
 Generate = Callable[[str, str], str]
 
@@ -69,17 +70,25 @@ def judged(cases: DataFrame, judge: Generate, absent: float | None = None) -> Da
     return scored.unionByName(rest)
 
 
+def scored_answers(cases: DataFrame, judge: Generate, absent: float | None = None) -> DataFrame:
+    """A judge's verdicts (see `judged`) and ROUGE of each response against its rubric without marks; null where there is no rubric."""
+    rows = judged(cases, judge, absent)
+    found = rouge(F.coalesce("response", F.lit("")), rubric_reference("rubric"))
+    return rows.withColumn("_rouge", found).select(*rows.columns, *[F.when(F.col("rubric").isNotNull(), F.col(f"_rouge.{n}")).alias(n) for n in ("rouge1", "rouge2", "rougeL")])
+
+
 class Chat:
     """A session: each turn retrieves, builds a prompt, asks the model and keeps the history as rows."""
 
     def __init__(self, retrieve: Callable[[str, str], str], generate: Generate = dry_run, mode: str = "hybrid"):
         self.retrieve, self.generate, self.mode = retrieve, generate, mode
         self.history: list[dict] = []
+        self.sources = ""
 
     def say(self, message: str) -> str:
         if message.startswith("/"):
             return self.command(message)
-        context = "" if self.mode == "none" else self.retrieve(message, self.mode)
+        context = self.sources = "" if self.mode == "none" else self.retrieve(message, self.mode)
         past = "\n".join(f"{h['role']}: {h['text']}" for h in self.history)
         reply = self.generate(context, f"{past}\nuser: {message}".strip())
         for role, text in (("user", message), ("assistant", reply)):
@@ -87,14 +96,17 @@ class Chat:
         return reply
 
     def command(self, message: str) -> str:
-        name, *rest = message[1:].split()
+        """/mode, /sources (of the last turn), /clear, /help and /quit."""
+        name, *rest = message[1:].lower().split() or [""]
         if name == "clear":
             self.history.clear()
             return "cleared"
         if name == "mode" and rest and rest[0] in ("none", "vector", "graph", "hybrid"):
             self.mode = rest[0]
             return f"mode {self.mode}"
-        return "/mode none|vector|graph|hybrid, /clear, /quit" if name != "quit" else "bye"
+        if name == "sources":
+            return self.sources or "no sources"
+        return "/mode none|vector|graph|hybrid, /sources, /clear, /help, /quit" if name != "quit" else "bye"
 
     def compare(self, message: str) -> dict[str, str]:
         """The reply without context beside that of the current mode."""

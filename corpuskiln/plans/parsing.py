@@ -70,7 +70,7 @@ def chunk_streams(spark: SparkSession, folder: str) -> DataFrame:
 def logic_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out items as logic case files, which are parsed."""
     rows = table(spark, folder, "eval_cases")
-    third, money = F.col("item_id") % 3, F.regexp_extract("rubric", r"\$([0-9,]+)", 1)
+    third, money = F.col("item_id") % 3, F.regexp_extract(F.coalesce("rubric", F.lit("")), r"\$([0-9,]+)", 1)
     plain = F.replace(money, F.lit(","), F.lit(""))
     asked = F.when(third == 0, F.concat(F.lit("% Section 151(d) applies to case "), F.col("item_id").cast("string"), F.lit(". Contradiction"))).when(third == 1, F.concat(F.lit("% How much tax is due? $"), money)).otherwise(F.lit("% It holds."))
     goal = F.when(third == 1, F.concat(F.lit(":- tax(bob,2017,"), plain, F.lit(")."))).when(F.col("item_id") % 2 == 0, F.lit(":- \\+ s151(a,_).")).otherwise(F.lit("goal :- \\+ f(a).\n:- goal."))
@@ -101,12 +101,12 @@ SELECT source, substr(md5(source || ':' || own), 1, 12) AS id, section_id, title
 read AS (SELECT *, CASE WHEN starts_with(file, 'section') THEN '26 USC §' || n WHEN regexp_matches(first, '§\\s*[0-9]{{1,4}}[A-Z]?') THEN '26 USC §' || regexp_extract(first, '§\\s*([0-9]{{1,4}}[A-Z]?)', 1) END AS ref FROM named)
 SELECT substr(md5('sara_source:' || file), 1, 12) AS id, 'SARA Source: ' || coalesce(ref, file) AS section_id, first AS title, md5(first || chr(10) || text) AS digest, 'sara_source/' || file AS hierarchy, coalesce(ref, '') AS refs FROM read""",
     "chunk_streams": "WITH rows AS (SELECT DISTINCT id, source, page_start FROM chunks WHERE id IS NOT NULL) SELECT id, row_number() OVER (ORDER BY CASE WHEN coalesce(source = 'usc26', FALSE) THEN 0 WHEN page_start IS NOT NULL THEN 1 ELSE 2 END, coalesce(source, ''), coalesce(page_start, 0), id) - 1 AS chunk_ord FROM rows",
-    "logic_cases": r"""WITH rows AS (SELECT item_id, id || CASE item_id % 5 WHEN 0 THEN '_pos' WHEN 1 THEN '_neg' ELSE '' END AS stem, item_id % 3 AS third, regexp_extract(rubric, '\$([0-9,]+)', 1) AS money, trim(regexp_replace(coalesce(context, 'none'), '\s+', ' ', 'g')) AS context FROM eval_cases),
+    "logic_cases": r"""WITH rows AS (SELECT item_id, id || CASE item_id % 5 WHEN 0 THEN '_pos' WHEN 1 THEN '_neg' ELSE '' END AS stem, item_id % 3 AS third, regexp_extract(coalesce(rubric, ''), '\$([0-9,]+)', 1) AS money, trim(regexp_replace(coalesce(context, 'none'), '\s+', ' ', 'g')) AS context FROM eval_cases),
 made AS (SELECT *, replace(money, ',', '') AS plain FROM rows)
 SELECT stem AS id, md5(context) AS context, 'fact(' || item_id || ').' AS facts,
  CASE third WHEN 0 THEN 'Section 151(d) applies to case ' || item_id || '?' WHEN 1 THEN 'How much tax is due?' ELSE 'It holds.' END AS question,
  CASE third WHEN 0 THEN 'Contradiction' WHEN 1 THEN '$' || money ELSE 'Contradiction' END AS expected, CASE third WHEN 1 THEN 'numeric' ELSE 'label' END AS expected_type,
  CASE WHEN third = 1 THEN 'tax(bob,2017,' || plain || ')' WHEN item_id % 2 = 0 THEN 's151(a,_)' ELSE 'goal' END AS test_goal, third <> 1 AS test_goal_negated,
  CASE WHEN third = 1 THEN '2017|' || plain WHEN item_id % 2 = 0 THEN '51' ELSE '' END AS numbers FROM made WHERE third <> 1 OR money <> ''
-UNION ALL SELECT stem, md5(context), 'fact(' || item_id || ').', 'How much tax is due?', '2017', 'numeric', 'tax(bob,2017,)', FALSE, '2017' FROM made WHERE third = 1 AND money IS NOT DISTINCT FROM ''""",
+UNION ALL SELECT stem, md5(context), 'fact(' || item_id || ').', 'How much tax is due?', '$', 'string', 'tax(bob,2017,)', FALSE, '2017' FROM made WHERE third = 1 AND money = ''""",
 }

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
+import math
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskiln import storage
 from corpuskiln.functions import refs, text
 from corpuskiln.operators import audit, graph, linking, order, vectors
 
@@ -25,8 +27,8 @@ def fingerprint(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def file_states(paths: list[str]) -> list[tuple[str, int, int]]:
-    return [(p, os.stat(p).st_size, int(os.stat(p).st_mtime)) for p in sorted(paths)]
+def file_states(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    return [storage.state(spark, p) for p in sorted(paths)]
 
 
 class Stages:
@@ -36,20 +38,18 @@ class Stages:
         self.spark, self.folder, self.path = spark, folder, f"{folder}/build_cache.json"
         self.hits: dict[str, bool] = {}
         try:
-            with open(self.path) as f:
-                known = json.load(f)
+            known = json.loads(storage.read_text(spark, self.path) or "{}")
             self.known = known["stages"] if known.get("version") == VERSION else {}
-        except (OSError, ValueError, KeyError):
+        except (ValueError, KeyError, Py4JJavaError):  # no readable manifest: all stages are built
             self.known = {}
 
     def table(self, name: str, mark: str, build: Callable[[], DataFrame]) -> DataFrame:
         target = f"{self.folder}/{name}.parquet"
-        self.hits[name] = self.known.get(name) == mark and os.path.exists(f"{target}/_SUCCESS")
+        self.hits[name] = self.known.get(name) == mark and storage.exists(self.spark, f"{target}/_SUCCESS")
         if not self.hits[name]:
             build().write.mode("overwrite").parquet(target)
             self.known[name] = mark
-            with open(self.path, "w") as f:
-                json.dump({"version": VERSION, "stages": self.known}, f, indent=1)
+            storage.write_text(self.spark, self.path, json.dumps({"version": VERSION, "stages": self.known}, indent=1))
         return self.spark.read.parquet(target)
 
 
@@ -69,7 +69,6 @@ def split(chunks: DataFrame, limit: int = 2_000) -> DataFrame:
 
 def build(spark: SparkSession, chunks: DataFrame, labels: dict[str, str], folder: str, inputs: object, embed: Callable | None = None, strict: bool = True, curated: DataFrame | None = None, curated_pairs: DataFrame | None = None) -> dict:
     """Run all stages over parsed chunks and return the manifest. `inputs` is what the chunks' fingerprint is taken of (file states, settings)."""
-    os.makedirs(folder, exist_ok=True)
     stages, mark = Stages(spark, folder), fingerprint([VERSION, inputs, labels])
     whole = stages.table("chunks", mark, lambda: split(annotated(chunks, list(labels.values()))))
     embed = embed or vectors.hashing_embedder()
@@ -100,8 +99,7 @@ def build(spark: SparkSession, chunks: DataFrame, labels: dict[str, str], folder
     stages.table("communities", graph_mark, lambda: audit.community_summaries(nodes, members))
     manifest = {"version": VERSION, "built_at": datetime.now(UTC).isoformat(), "fingerprint": mark, "cache_hits": stages.hits, "n_chunks": whole.count(), "audit": report.first().asDict()}
     manifest["per_source"] = {r["source"]: r["count"] for r in whole.groupBy("source").count().orderBy("source").collect()}
-    with open(f"{folder}/build_manifest.json", "w") as f:
-        json.dump(manifest, f, indent=1)
+    storage.write_text(spark, f"{folder}/build_manifest.json", json.dumps(manifest, indent=1))
     return manifest
 
 
@@ -110,14 +108,33 @@ COLOURS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e
 
 
 def graph_html(nodes: DataFrame, edges: DataFrame, n: int = 200) -> str:
-    """A page with the subgraph of the n nodes of highest degree, n at most 5,000."""
+    """A page that draws the subgraph of the n nodes of highest degree, n at most 5,000: sources side by side on a circle, names and links on pointing."""
+    from html import escape
+
     small = graph.top_degree_subgraph(edges, min(max(1, n), 5_000))
     ends = small.select(F.col("src").alias("section_id")).union(small.select("dst")).distinct()
-    shown = nodes.join(ends, "section_id", "left_semi").select("section_id", "source", text.shortened("title", 60).alias("title")).orderBy("section_id").collect()
+    shown = nodes.join(ends, "section_id", "left_semi").select("section_id", "source", text.shortened("title", 60).alias("title")).orderBy("source", "section_id").collect()
     colour = {s: COLOURS[i % len(COLOURS)] for i, s in enumerate(sorted({r["source"] for r in shown}))}
-    data = {"nodes": [{"id": r["section_id"], "label": r["title"], "color": colour[r["source"]]} for r in shown], "edges": [{"from": r["src"], "to": r["dst"], "type": r["type"]} for r in small.collect()]}
-    body = json.dumps(data, ensure_ascii=False).replace("</", "<\\/")
-    return f"<!doctype html><meta charset='utf-8'><title>Graph</title><pre id='g'></pre><script>const graph={body};document.getElementById('g').textContent=JSON.stringify(graph,null,1)</script>"
+    radius = max(200, 6 * len(shown))
+    at = {r["section_id"]: (radius * math.cos(2 * math.pi * i / max(1, len(shown))), radius * math.sin(2 * math.pi * i / max(1, len(shown)))) for i, r in enumerate(shown)}
+    lines = [
+        f'<path class="{escape(r["type"] or "")}" d="M{at[r["src"]][0]:.1f} {at[r["src"]][1]:.1f}Q0 0 {at[r["dst"]][0]:.1f} {at[r["dst"]][1]:.1f}"><title>{escape(r["src"])} → {escape(r["dst"])}</title></path>'
+        for r in small.collect()
+        if r["src"] in at and r["dst"] in at
+    ]
+    dots = [f'<circle cx="{at[r["section_id"]][0]:.1f}" cy="{at[r["section_id"]][1]:.1f}" r="5" fill="{colour[r["source"]]}"><title>{escape(r["section_id"])}: {escape(r["title"] or "")}</title></circle>' for r in shown]
+    legend = "".join(f'<li style="color:{c}">{escape(s)}</li>' for s, c in colour.items())
+    side = radius + 20
+    style = "path{fill:none;stroke:#999;stroke-opacity:.4}path.coverage{stroke-dasharray:4}path:hover{stroke:#000;stroke-opacity:1}svg{width:80vw;height:95vh;float:left}"
+    return f"<!doctype html><meta charset='utf-8'><title>Graph</title><style>{style}</style><svg viewBox='{-side} {-side} {2 * side} {2 * side}'>{''.join(lines)}{''.join(dots)}</svg><ul>{legend}</ul>"
+
+
+def report(summary: DataFrame) -> str:
+    """A summary (see evaluation.mode_summary) as lines of text, a line a dataset, model and mode; at most 10,000."""
+    columns = [c for c in summary.columns if c not in ("dataset", "model", "mode")]
+    rows = summary.orderBy("dataset", "model", "mode").limit(10_000).collect()
+    said = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    return "\n".join(["\t".join(["dataset", "model", "mode", *columns]), *("\t".join([r["dataset"], r["model"], r["mode"], *(said(r[c]) for c in columns)]) for r in rows)])
 
 
 def graphml(nodes: DataFrame, edges: DataFrame, path: str, most: int = 1_000_000) -> None:
@@ -126,7 +143,7 @@ def graphml(nodes: DataFrame, edges: DataFrame, path: str, most: int = 1_000_000
 
     if nodes.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} nodes")
-    with open(path, "w", encoding="utf-8") as f:
+    with open(path, "w", encoding="utf-8") as f:  # a small export on the driver
         f.write('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="t" for="edge" attr.name="type" attr.type="string"/><key id="s" for="node" attr.name="source" attr.type="string"/><graph edgedefault="directed">\n')
         for r in nodes.select("section_id", "source").toLocalIterator():
             f.write(f"<node id={quoteattr(r['section_id'])}><data key=\"s\">{escape(r['source'])}</data></node>\n")

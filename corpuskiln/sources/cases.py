@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskiln import storage
 from corpuskiln.functions.refs import usc_refs
 from corpuskiln.operators.order import numbered
+from corpuskiln.session import durable
 
 CASE = "id string, context string, facts string, question string, expected string, expected_type string, test_goal string, test_goal_negated boolean, test_goal_numbers array<string>"
 
@@ -131,7 +133,7 @@ def parse_cases(files: DataFrame) -> DataFrame:
 
     def parse(frames):
         for f in frames:
-            yield pd.DataFrame([parse_case(i, t) for i, t in zip(f["id"], f["content"])], columns=[c.split()[0] for c in CASE.split(", ")])
+            yield pd.DataFrame([parse_case(i, t or "") for i, t in zip(f["id"], f["content"])], columns=[c.split()[0] for c in CASE.split(", ")])
 
     return files.select("id", "content").mapInPandas(parse, CASE)
 
@@ -154,13 +156,20 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("dataset", "model", "mode", "case.*") if "mode" not in named.schema["case"].dataType.names else named.select("dataset", "model", *[f"case.{n}" for n in named.schema["case"].dataType.names if n not in ("dataset", "model")])
 
 
-def write_results(path: str, dataset: str, model: str, mode: str, cases: list[dict], overwrite: bool = False) -> bool:
+def write_results(spark: SparkSession, path: str, dataset: str, model: str, mode: str, cases: list[dict], overwrite: bool = False) -> bool:
     """Save one result file; False, and nothing written, if it is there already."""
-    import os
-
     target = f"{path}/{dataset}__{model}__{mode}.json"
-    if os.path.exists(target) and not overwrite:
+    if storage.exists(spark, target) and not overwrite:
         return False
-    with open(target, "w") as f:
-        json.dump({"dataset": dataset, "model": model, "mode": mode, "n_cases": len(cases), "cases": cases}, f, ensure_ascii=False)
+    storage.write_text(spark, target, json.dumps({"dataset": dataset, "model": model, "mode": mode, "n_cases": len(cases), "cases": cases}, ensure_ascii=False))
     return True
+
+
+def save_results(results: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Save results as a table partitioned by dataset, model and mode; combinations that are there already are left, or replaced if `overwrite`."""
+    spark, keys = results.sparkSession, ["dataset", "model", "mode"]
+    rows = results
+    if not overwrite and storage.exists(spark, path) and any("=" in n for n in storage.names(spark, path)):
+        known = spark.read.parquet(path).select(*[F.col(k).cast("string").alias(k) for k in keys]).distinct()
+        rows = durable(results.join(known, keys, "left_anti"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

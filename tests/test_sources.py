@@ -8,9 +8,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskiln import config
 from corpuskiln.functions import text
-from corpuskiln.operators import generation
+from corpuskiln.operators import evaluation, generation, orphans
 from corpuskiln.plans import pipeline
+from corpuskiln.plans.engine import Engine
 from corpuskiln.sources import cases, documents
 from corpuskiln.streaming import refresh
 
@@ -139,7 +141,7 @@ def test_rubrics_references_and_results(spark, tmp_path):
     spark.createDataFrame([("s", "f", "c", "q0", "a"), ("s", "f", "c", "q1", "b")], "source string, filename string, context string, question string, answer string").coalesce(1).write.parquet(str(tmp_path / "qa"))
     assert [(r["id"], r["question"]) for r in cases.read_references(spark, str(tmp_path / "qa"), 1).collect()] == [("irs_qa_0", "q0")]
     saved = [{"id": "a", "earned": 0.5}, {"id": "b", "earned": None}]
-    assert cases.write_results(str(tmp_path), "sara__x", "m", "hybrid", saved) and not cases.write_results(str(tmp_path), "sara__x", "m", "hybrid", [])
+    assert cases.write_results(spark, str(tmp_path), "sara__x", "m", "hybrid", saved) and not cases.write_results(spark, str(tmp_path), "sara__x", "m", "hybrid", [])
     got = cases.read_results(spark, str(tmp_path)).orderBy("id").collect()
     assert [(r["dataset"], r["model"], r["mode"], r["id"], r["earned"]) for r in got] == [("sara__x", "m", "hybrid", "a", 0.5), ("sara__x", "m", "hybrid", "b", None)]
 
@@ -172,6 +174,17 @@ def test_pipeline_stages_and_cache(spark, tmp_path):
     assert "IRS Pub. 17" in pipeline.graph_html(nodes, edges, 5)
     pipeline.graphml(nodes, edges, str(tmp_path / "g.graphml"))
     assert (tmp_path / "g.graphml").read_text().count("<edge ") == edges.count()
+    html = pipeline.graph_html(nodes, edges, 5)
+    assert html.count("<circle") == nodes.count() and html.count("<path") == edges.count()
+    engine = Engine.open(spark, out)
+    asked = spark.createDataFrame([(1, "What is gross income under section 61?"), (2, "overview")], "query_id long, text string")
+    for mode in ("none", "vector", "graph", "hybrid"):
+        hits = engine.retrieve(asked, mode, 3).collect()
+        assert (mode == "none") is (not hits) and all(h["title"] is not None for h in hits)
+    assert "26 USC §61" in {h["section_id"] for h in engine.retrieve(asked, "graph", 3).collect() if h["query_id"] == 1}
+    assert engine.manifest["n_chunks"] == 4 and engine.community_of(nodes.where("source = 'usc26'")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        Engine.open(spark, str(tmp_path / "nowhere"))
     (tmp_path / "built" / "build_cache.json").write_text("broken")
     assert not pipeline.Stages(spark, out).known
 
@@ -200,8 +213,42 @@ def test_generation_and_chat(spark):
     chat = generation.Chat(lambda q, mode: f"context for {mode}")
     chat.say("hello")
     assert chat.say("/mode graph") == "mode graph" and len(chat.history) == 2 and set(chat.compare("x")) == {"none", "graph"}
+    assert chat.say("/sources") == "context for hybrid" and "/sources" in chat.say("/help") and chat.say("/quit") == "bye"
     chat.say("/clear")
     assert chat.history == []
+    scored = {r["id"]: r for r in generation.scored_answers(spark.createDataFrame([("1", "the levy is due", "[+1.0] The levy is due"), ("2", "x", None)], "id string, response string, rubric string"), lambda s, u: '{"earned": 1, "total": 1, "feedback": ""}').collect()}
+    assert (scored["1"]["earned"], scored["1"]["rouge1"], scored["1"]["rougeL"], scored["2"]["earned"], scored["2"]["rouge1"]) == (1.0, 1.0, 1.0, None, None)
+
+
+def test_results_are_saved_once(spark, tmp_path):
+    made = lambda mode, earned: spark.createDataFrame([("d", "m1", mode, "c", earned, 1.0)], "dataset string, model string, mode string, case_id string, earned double, total double")
+    path = str(tmp_path / "results")
+    cases.save_results(made("graph", 0.5), path)
+    cases.save_results(made("graph", 0.9).unionByName(made("none", 0.1)), path)
+    read = lambda: {(r["mode"], r["earned"]) for r in spark.read.parquet(path).collect()}
+    assert read() == {("graph", 0.5), ("none", 0.1)}
+    cases.save_results(made("graph", 0.9), path, overwrite=True)
+    assert read() == {("graph", 0.9), ("none", 0.1)}
+    found = evaluation.filtered(spark.read.parquet(path), "d", "m")
+    assert found.count() == 2 and evaluation.filtered(found, model="x").count() == 0
+    assert pipeline.report(evaluation.mode_summary(found)).count("\n") == 2
+
+
+def test_settings_and_profiles(spark, tmp_path):
+    env = {"A": " Yes ", "B": "off", "N": "12", "X": "1.5"}
+    assert config.flag("A", False, env) and not config.flag("B", True, env) and config.flag("C", True, env)
+    assert (config.whole_number("N", 3, env), config.whole_number("X", 3, env), config.whole_number("Z", 3, env)) == (12, 3, 3)
+    assert config.slug(" My Model: 2 ") == "my-model-2" and config.slug("!") == "default"
+    root = tmp_path / "k"
+    for name in ("2024-2026", "a", "z"):
+        (root / name).mkdir(parents=True)
+    assert config.profile_folder(spark, str(root)) == str(root)
+    (root / "z" / "usc26.xml").write_text("x")
+    assert config.profile_folder(spark, str(root)) == f"{root}/z"
+    (root / "2024-2026" / "usc26.xml").write_text("x")
+    assert config.profile_folder(spark, str(root)) == f"{root}/2024-2026" and config.profile_folder(spark, str(root), "a") == f"{root}/a"
+    with pytest.raises(FileNotFoundError):
+        config.profile_folder(spark, str(root), "none")
 
 
 def test_streaming_state_matches_the_batch(spark, tmp_path):
@@ -212,6 +259,15 @@ def test_streaming_state_matches_the_batch(spark, tmp_path):
         spark.createDataFrame(part, CHUNKS).coalesce(1).write.mode("append").parquet(source)
         refresh.keep_orphans(spark, spark.readStream.schema(schema).parquet(source), state, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert {r["key"] for r in refresh.current_orphans(spark, state).collect()} == {"26 USC §1"}
+    more = str(tmp_path / "edges")
+    spark.createDataFrame([(1, "26 USC §99", rows[0][-1]), (2, "26 USC §61", rows[0][-1])], "edge_id long, dst string, seen_at timestamp_ntz").write.parquet(more)
+    arriving = spark.readStream.schema("edge_id long, dst string, seen_at timestamp_ntz").parquet(more)
+    refresh.keep_orphans(spark, arriving, str(tmp_path / "of_edges"), str(tmp_path / "c3"), refresh.edge_deltas).awaitTermination(120)
+    assert {r["key"] for r in refresh.current_orphans(spark, state, str(tmp_path / "of_edges")).collect()} == {"26 USC §1", "26 USC §99"}
+    gone = refresh.edge_deltas(spark.read.parquet(more).withColumn("sign", F.lit(-1)))
+    assert {r["key"] for r in orphans.orphan_keys(orphans.merged(refresh.edge_deltas(spark.read.parquet(more)), gone)).collect()} == set()
+    retired = refresh.retired_deltas(spark.createDataFrame([("26 USC §99",)], "section_id string"))
+    assert [tuple(r) for r in retired.select("key", "retired").collect()] == [("26 USC §99", 1)]
     counts = refresh.arrivals(spark.read.parquet(source)).collect()
     assert sum(r["n_chunks"] for r in counts) == 3
     stream = refresh.arrivals(spark.readStream.schema(schema).parquet(source)).writeStream.format("memory").queryName("arrived").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
