@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.functions import prompts, refs, text
-from corpuskiln.operators import evaluation, retrieval, vectors
+from corpuskiln.functions import prompts, refs, rouge, text
+from corpuskiln.operators import evaluation, generation, retrieval, vectors
 from corpuskiln.plans import pipeline, reference
-from corpuskiln.plans.reference import _RANGE, _SECTION, _TOP, _stripped
+from corpuskiln.plans.reference import _RANGE, _RESULTS, _SECTION, _TOP, _stripped
 from corpuskiln.session import table
 from corpuskiln.sources import cases
 
@@ -134,6 +136,43 @@ def retrieval_modes(spark: SparkSession, folder: str) -> DataFrame:
     return whole
 
 
+def _failing(system: str, user: str) -> str:
+    """A stand-in for a model: fails for prompts of a length that seven divides."""
+    if len(user) % 7 == 0:
+        raise TimeoutError("no reply")
+    return generation.dry_run(system, user)
+
+
+def batch_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompts of held-out cases run as a batch, errors kept by case."""
+    found = generation.replies(case_prompts(spark, folder), _failing)
+    return found.select("item_id", "response", "error")
+
+
+def _verdict(system: str, user: str) -> str:
+    """A stand-in for a judge: earned by the length of what it sees, and now and then no verdict."""
+    return "no verdict" if len(user) % 5 == 0 else json.dumps({"earned": len(user) % 4, "total": 4, "feedback": f"{len(user)} characters"})
+
+
+def judged_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions judged as replies against their rubrics; null rubrics aren't judged."""
+    rows = table(spark, folder, "eval_cases").select("item_id", F.col("question").alias("response"), "rubric")
+    return generation.judged(rows, _verdict, 0.0).select("item_id", "earned", "total", "feedback", "judge_failed")
+
+
+def rouge_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """ROUGE of each answer against its context, as the scores of a set of reference answers have it."""
+    rows = table(spark, folder, QA).select("qa_id", "answer", "context").distinct()
+    found = rouge.rouge(F.coalesce("answer", F.lit("")), F.coalesce("context", F.lit("")))
+    return rows.select("qa_id", found.alias("r")).select("qa_id", "r.rouge1", "r.rouge2", "r.rougeL")
+
+
+def filtered_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The results of one dataset and of models by a part of their names, summed up."""
+    found = evaluation.filtered(reference._results(spark, folder), "events", "1")
+    return found.groupBy("dataset", "model", "mode").agg(F.count("*").alias("n"), F.count("earned").alias("n_scored"))
+
+
 def reference_cases(spark: SparkSession, folder: str) -> DataFrame:
     """The evaluation set of reference answers, numbered in file order."""
     return cases.read_references(spark, f"{folder}/{QA}.parquet").select("id", "question", "rubric", "source", "filename")
@@ -143,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_rules, numeric_questions, numbers_in_answers, ref_sources, annotated_refs, answer_labels, judge_replies, case_prompts, hierarchical_metrics, fact_citations, scored_cases, source_recall, source_hit_means,
-        retrieval_modes, reference_cases,
+        retrieval_modes, batch_replies, judged_cases, rouge_scores, filtered_results, reference_cases,
     )
 }
 
@@ -276,3 +315,10 @@ FROM eval_cases LEFT JOIN whole USING (item_id) LEFT JOIN per USING (item_id)"""
     "source_recall": f"WITH {_SOURCES}, per AS (SELECT item_id, round(avg(hit), 4) AS source_recall, string_agg(source, '|' ORDER BY source) AS sources FROM hits GROUP BY 1) SELECT item_id, source_recall, sources FROM eval_cases LEFT JOIN per USING (item_id)",
     "source_hit_means": f"WITH {_SOURCES} SELECT source, round(avg(hit), 4) AS hit_rate FROM hits GROUP BY 1",
 }
+SQL |= {
+    "batch_replies": f"WITH p AS ({SQL['case_prompts']}) SELECT item_id, CASE WHEN length(\"user\") % 7 <> 0 THEN '[dry run] ' || length(system) || ' + ' || length(\"user\") || ' characters' END AS response, CASE WHEN length(\"user\") % 7 = 0 THEN 'TimeoutError: no reply' END AS error FROM p",
+    "judged_cases": """WITH p AS (SELECT item_id, rubric, length('Rubric:' || chr(10) || rubric || chr(10) || chr(10) || 'Response:' || chr(10) || coalesce(question, '')) AS n FROM eval_cases)
+SELECT item_id, CASE WHEN rubric IS NOT NULL THEN CASE WHEN n % 5 = 0 THEN 0.0 ELSE n % 4 END END AS earned, CASE WHEN rubric IS NOT NULL THEN CASE WHEN n % 5 = 0 THEN 0.0 ELSE 4.0 END END AS total,
+ CASE WHEN rubric IS NOT NULL AND n % 5 <> 0 THEN n || ' characters' END AS feedback, coalesce(rubric IS NOT NULL AND n % 5 = 0, FALSE) AS judge_failed FROM p""",
+    "filtered_results": f"WITH {_RESULTS} SELECT dataset, model, mode, count(*) AS n, count(earned) AS n_scored FROM results WHERE dataset = 'events' AND contains(model, '1') GROUP BY ALL",
+}
