@@ -20,9 +20,17 @@ probability 0.52, so a pair exactly at the threshold is lost with probability
 less than ten shingles are also met by leaving out up to three tenths of the
 set, which is exact.
 
+Shuffle. All variants of a fingerprint have its anchor, and the anchor alone
+decides the bucket in which they meet, so a text's key goes there once with all
+of them, as bytes of a fixed length that neither more partitions nor smaller
+blocks make longer. Texts of variants that up to FEW share are paired there.
+Of larger groups the texts come with their sketches first, and only pairs that
+these leave possible are written, so what is written grows as the groups' texts
+and not as their pairs.
+
 Hot variants. A boilerplate under a third of the texts gives variants that as
 many texts share. A task that meets a variant in more than LOCAL of its texts
-says so once and sends the texts' further rows elsewhere, spread evenly, so no
+says so once and of further texts sends the key alone, spread evenly, so no
 group of the shuffle holds more than LOCAL rows of each task. The texts of
 variants that more than HOT texts share are paired by an exact prefix filter.
 
@@ -52,6 +60,8 @@ SKETCH = 256
 ANCHORS = 12
 #: Variants that more texts share than this are refined by an exact prefix filter.
 HOT = 256
+#: Variants that up to this many texts share are paired where they meet, those of more with sketches at hand.
+FEW = 8
 #: Texts of a task that may meet on a variant; those of a batch from which on they are counted.
 LOCAL, WATCHED = 64, 4
 #: Copies of a text that are paired in one piece; pairs of more copies are split into blocks.
@@ -64,6 +74,12 @@ BROADCAST_KEYS = 500_000
 
 _BITS = np.uint64(48)
 _TEXTS = 65_536
+#: Bits of an anchor that name its bucket, and of a variant that are kept within it.
+_BUCKET, _KEPT = np.uint64(12), np.uint64(48)
+#: What a row of bytes holds: keys with all forms of a fingerprint, keys with one form, keys of common variants, forms that are common.
+_FULL, _ONE, _COMMON, _TOLD = range(4)
+#: Bytes of whole buckets that are worked on at a time.
+_WORK = 16_000_000
 _SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
 
@@ -114,10 +130,10 @@ def text_keys(words: list[list[bytes]], collided: np.ndarray) -> np.ndarray:
     return keys
 
 
-def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(variant, text number) of all fingerprints' half balls."""
+def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(variants, text number) of all fingerprints' half balls, RUN variants of each, and of small sets, one in a row."""
     if not len(value):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return [(np.empty((0, n), np.uint64), np.empty(0, np.int64)) for n in (RUN, 1)]
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     counts = np.diff(np.r_[starts, len(value)])
     start, count = np.repeat(starts, counts), np.repeat(counts, counts)
@@ -129,13 +145,13 @@ def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> tuple[np.
         chosen &= first | (count <= anchors)
     at = np.flatnonzero(chosen)
     follow = [value[start[at] + (place[at] + j) % count[at]] for j in range(1, RUN + 1)]
-    out_v, out_o = [], []
+    anchor, forms = _mix(value[at]), np.empty((len(at), RUN), np.uint64)
     for skip in range(RUN):
-        v = _mix(value[at])
+        v = anchor
         for j in [j for j in range(RUN) if j != skip]:
             v = _mix(v * np.uint64(3) + follow[j])
-        out_v.append(v)
-        out_o.append(owner[at])
+        forms[:, skip] = v
+    out_v, out_o = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for s, n in zip(starts[counts <= SMALL], counts[counts <= SMALL]):
         members = _mix(value[s : s + n])
         whole = members.sum(dtype=np.uint64)
@@ -143,9 +159,13 @@ def ball(value: np.ndarray, owner: np.ndarray, anchors: int | None) -> tuple[np.
             v = [whole - members[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), left_out)]
             out_v.append(_mix(np.array(v, dtype=np.uint64) + np.uint64(1)))
             out_o.append(np.full(len(v), owner[s]))
-    variant, owner = np.concatenate(out_v), np.concatenate(out_o)
-    order = np.argsort(owner, kind="stable")  # equal keys lie together and compress in the shuffle
-    return variant[order], owner[order]
+    small = np.concatenate(out_v)
+    return [(_named(forms, anchor[:, None]), owner[at]), (_named(small, small)[:, None], np.concatenate(out_o))]
+
+
+def _named(forms: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The forms with the bucket of their place in front, as 60-bit variants."""
+    return ((_mix(place) >> (np.uint64(64) - _BUCKET)) << _KEPT) | (forms >> (np.uint64(64) - _KEPT))
 
 
 def sketches(value: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
@@ -188,8 +208,22 @@ def _keyer(size: int):
     return key
 
 
+def _bytes(kind: int, variants: np.ndarray, keys: np.ndarray | None) -> pa.RecordBatch:
+    """bucket, kind, rows: of each row of variants its key, if any, and the variants' 6 bytes below the bucket's."""
+    bucket = (variants[:, 0] >> _KEPT).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    n, forms, kept = *variants.shape, int(_KEPT) // 8
+    low = np.ascontiguousarray(variants[order], "<u8").view(np.uint8).reshape(n, forms, 8)[:, :, :kept].reshape(n, forms * kept)
+    parts = [low] if keys is None else [np.ascontiguousarray(keys[order], "<i8").view(np.uint8).reshape(n, 8), low]
+    data, bucket = np.concatenate(parts, axis=1), bucket[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    ends = (np.r_[starts, len(bucket)] * data.shape[1]).astype(np.int32)
+    rows = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), kind, np.int8)), rows], names=["bucket", "kind", "rows"])
+
+
 def _emitter(size: int, anchors: int | None, collided: np.ndarray, local: int):
-    """place, variant, key, heat: 0 a text under its variant, 1 one of a variant too common in the task (spread by place), 2 the task's word that it is."""
+    """bucket, kind, rows: texts under their variants, texts of variants too common in the task (spread by key), the task's word that these are."""
 
     def emit(batches):
         hashes, seen, said = _WordHashes(), Counter(), set()
@@ -198,26 +232,133 @@ def _emitter(size: int, anchors: int | None, collided: np.ndarray, local: int):
             keys, at = np.unique(text_keys(words, collided), return_index=True)
             words = [words[i] for i in at]
             for i in range(0, len(words), _TEXTS):
-                variant, owner = ball(*ring(words[i : i + _TEXTS], size, hashes), anchors)
-                variant, key = variant.view(np.int64), keys[i + owner]
-                values, counts = np.unique(variant, return_counts=True)
+                found = [(v, keys[i + o]) for v, o in ball(*ring(words[i : i + _TEXTS], size, hashes), anchors)]
+                values, counts = np.unique(np.concatenate([v.ravel() for v, _ in found]), return_counts=True)
                 often = counts >= WATCHED
                 for v, n in zip(values[often].tolist(), counts[often].tolist()):
                     seen[v] += n
-                hot = np.array([v for v in values[often].tolist() if seen[v] > local], dtype=np.int64)
-                heat = np.isin(variant, hot)
-                spread = _mix(variant.view(np.uint64) + _mix(key.view(np.uint64))).view(np.int64)
+                hot = np.array([v for v in values[often].tolist() if seen[v] > local], dtype=np.uint64)
+                heat = [np.isin(v, hot) for v, _ in found]
                 fresh = [v for v in hot.tolist() if v not in said]
                 said.update(fresh)
-                told = pa.array(fresh, pa.int64())
-                arrays = [pa.array(np.where(heat, spread, variant)), pa.array(variant), pa.array(key), pa.array(heat.astype(np.int8))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["place", "variant", "key", "heat"])
-                if fresh:
-                    yield pa.RecordBatch.from_arrays([told, told, pa.nulls(len(fresh), pa.int64()), pa.array([2] * len(fresh), pa.int8())], names=["place", "variant", "key", "heat"])
+                for kind, (v, key), h in zip((_FULL, _ONE), found, heat):
+                    cool = ~h.any(axis=1)
+                    yield _bytes(kind, v[cool], key[cool])
+                    yield _bytes(_ONE, v[~h & ~cool[:, None]][:, None], np.repeat(key, (~h & ~cool[:, None]).sum(axis=1)))
+                common = np.unique(np.concatenate([key[h.any(axis=1)] for (_, key), h in zip(found, heat)]))
+                yield _bytes(_COMMON, _named(common.view(np.uint64), common.view(np.uint64))[:, None], common)
+                yield _bytes(_TOLD, np.array(fresh, np.uint64)[:, None], None)
 
     return emit
 
 
+def _read(kept: list[tuple[int, int, bytes]], kind: int, forms: int, keyed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(variants, keys), one by one, of the rows of bytes of a kind."""
+    rows, width = [(b, r) for b, k, r in kept if k == kind], 8 * keyed + forms * int(_KEPT) // 8
+    data = np.frombuffer(b"".join(r for _, r in rows), np.uint8).reshape(-1, width)
+    bucket = np.repeat(np.array([b for b, _ in rows], np.uint64), np.array([len(r) // width for _, r in rows], np.int64))
+    padded = np.zeros((len(data), forms, 8), np.uint8)
+    padded[:, :, : int(_KEPT) // 8] = data[:, 8 * keyed :].reshape(len(data), forms, int(_KEPT) // 8)
+    variants = padded.view("<u8")[:, :, 0].astype(np.uint64) | (bucket << _KEPT)[:, None]
+    keys = np.ascontiguousarray(data[:, :8]).view("<i8")[:, 0].astype(np.int64) if keyed else np.empty(0, np.int64)
+    return variants.ravel().view(np.int64), np.repeat(keys, forms)
+
+
+def _after(group: np.ndarray):
+    """Places i and i + d of rows of the same group, for one d after the other; group is sorted."""
+    i = np.arange(len(group))
+    for d in range(1, len(group)):
+        i = i[i + d < len(group)]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            return
+        yield i, i + d
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of two columns, in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return a[new], b[new]
+
+
+def _meeter(hot: int):
+    """variant, key_a, key_b from rows of bytes in the order of buckets: a pair without variant, a text under a variant of more than FEW, or the key alone of one under a hot variant."""
+
+    def met(kept):
+        (v, k), (v1, k1) = _read(kept, _FULL, RUN, True), _read(kept, _ONE, 1, True)
+        told, spread = np.unique(_read(kept, _TOLD, 1, False)[0]), _read(kept, _COMMON, 1, True)[1]
+        v, k = np.r_[v, v1], np.r_[k, k1]
+        order = np.argsort(v)
+        v, k = v[order], k[order]
+        same = v[1:] == v[:-1]
+        may = (np.r_[False, same] | np.r_[same, False])[: len(v)]
+        if len(told):
+            may |= np.isin(v, told)
+        v, k = _distinct(v[may], k[may])
+        starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
+        sizes = np.diff(np.r_[starts, len(v)])
+        warm = (sizes > hot) | np.isin(v[starts], told)
+        # several variants of a fingerprint mostly have the same texts
+        mark = np.add.reduceat(_mix(k.view(np.uint64)), starts) if len(starts) else np.empty(0, np.uint64)
+        first = np.zeros(len(starts), bool)
+        first[np.unique(np.stack([mark, sizes.astype(np.uint64)], axis=1), axis=0, return_index=True)[1]] = True
+        few, rest = (np.repeat(x, sizes) for x in (~warm & first & (sizes <= FEW), ~warm & first & (sizes > FEW)))
+        a, b = zip(*_after(v[few]), strict=True) if few.any() and (sizes[first & ~warm & (sizes <= FEW)] > 1).any() else ((), ())
+        none = np.empty(0, np.int64)
+        a, b = _distinct(k[few][np.concatenate([none, *a])], k[few][np.concatenate([none, *b])])
+        alone = np.unique(np.r_[spread, k[np.repeat(warm, sizes)]])
+        for columns in ((pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)), (pa.array(v[rest]), pa.array(k[rest]), pa.nulls(int(rest.sum()), pa.int64())), (pa.nulls(len(alone), pa.int64()), pa.array(alone), pa.nulls(len(alone), pa.int64()))):
+            yield pa.RecordBatch.from_arrays(list(columns), names=["variant", "key_a", "key_b"])
+
+    def meet(batches):
+        kept, held = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held > _WORK and row[0] != kept[-1][0]:
+                    yield from met(kept)
+                    kept, held = [], 0
+                kept.append(row)
+                held += len(row[2])
+        if kept:
+            yield from met(kept)
+
+    return meet
+
+
+def _pairer(tenths: int):
+    """key_a, key_b: the pairs of texts of the same variant whose sizes and sketches allow the similarity, from rows in the order of variants."""
+
+    def pair(batches):
+        rest = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+                rows = rows if rest is None else np.concatenate([rest, rows])
+                if not len(rows):
+                    continue
+                end = np.searchsorted(rows[:, 0], rows[-1, 0])
+                rows, rest = rows[:end], rows[end:]
+            elif rest is None:
+                return
+            else:
+                rows = rest
+            found = [np.empty((0, 2), np.int64)]
+            for i, j in _after(rows[:, 0]):
+                n, m = rows[i, 2], rows[j, 2]
+                fit = (n * 10 >= m * tenths) & (m * 10 >= n * tenths)
+                i, j = i[fit], j[fit]
+                apart = np.bitwise_count((rows[i, 3:] ^ rows[j, 3:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                fit = apart * (10 + tenths) <= (rows[i, 2] + rows[j, 2]) * (10 - tenths)
+                found.append(np.stack([rows[i[fit], 1], rows[j[fit], 1]], axis=1))
+            a, b = np.concatenate(found).T
+            a, b = _distinct(np.minimum(a, b), np.maximum(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["key_a", "key_b"])
+
+    return pair
+
+
 def _text_keyer(size: int, collided: np.ndarray):
     def key(batches):
         for batch in batches:
@@ -281,12 +422,14 @@ def _hot_pairs(hot: DataFrame, texts: DataFrame, size: int, tenths: int, collide
         .where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * tenths / 10) + 1)
         .where("n > 1")
     )
-    left = ranked.select("part", F.col("key").alias("key_a"), F.col("size").alias("size_a"))
-    right = ranked.select("part", F.col("key").alias("key_b"), F.col("size").alias("size_b"))
+    left = ranked.select("part", F.col("key").alias("key_a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"))
+    right = ranked.select("part", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
+    most = F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b")) + 1  # common ones, if this is the first
     return (
         left.join(right, "part")
         .where("key_a < key_b")
         .where((F.col("size_a") * 10 >= F.col("size_b") * tenths) & (F.col("size_b") * 10 >= F.col("size_a") * tenths))
+        .where(most * (10 + tenths) >= (F.col("size_a") + F.col("size_b")) * tenths)
         .select("key_a", "key_b")
     )
 
@@ -325,25 +468,12 @@ def linked_texts(
     newest = keyed.groupBy("_id").agg(F.max(F.struct("_version", "key"))["key"].alias("key"))
     members = newest.where("key is not null")
     sketched = keyed.where("key is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", *_SKETCH)])
-    balls = texts.mapInArrow(_emitter(size, anchors, collided, local), "place long, variant long, key long, heat tinyint")
-    group = Window.partitionBy("place")
-    shared = (
-        balls.withColumn("_least", F.min("key").over(group))
-        .withColumn("_most", F.max("key").over(group))
-        .withColumn("_told", F.max("heat").over(group) == 2)
-        .where("heat = 1 or heat = 0 and (_told or _least <> _most)")
-        .select("place", "variant", "key", (F.col("_told") | (F.col("heat") == 1)).alias("hot"))
-        .distinct()
-        .withColumn("n", F.count("*").over(group))
-    )
-    shared = durable(shared.select("variant", "key", (F.col("hot") | (F.col("n") > hot)).alias("hot")))
-    after = Window.partitionBy("variant").orderBy("key").rowsBetween(1, Window.unboundedFollowing)
-    met = (
-        shared.where("not hot")
-        .withColumn("_next", F.collect_list("key").over(after))
-        .select(F.col("key").alias("key_a"), F.explode("_next").alias("key_b"))
-    )
-    many = shared.where("hot")
+    balls = texts.mapInArrow(_emitter(size, anchors, collided, local), "bucket int, kind tinyint, rows binary")
+    shared = durable(balls.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meeter(hot), "variant long, key_a long, key_b long"))
+    grouped = shared.where("variant is not null").select("variant", F.col("key_a").alias("key")).join(sketched, "key")
+    grouped = grouped.select("variant", "key", "n", *_SKETCH).repartition("variant").sortWithinPartitions("variant")
+    met = shared.where("key_b is not null").select("key_a", "key_b").unionByName(grouped.mapInArrow(_pairer(tenths), "key_a long, key_b long"))
+    many = shared.where("variant is null and key_b is null").select(F.col("key_a").alias("key"))
     if not many.isEmpty():
         met = met.unionByName(_hot_pairs(many, texts, size, tenths, collided))
     pairs = durable(_close(met.distinct(), sketched, tenths))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuskiln.functions.words import split_words
@@ -132,3 +134,49 @@ def test_newest_text_counts_even_if_short(spark):
     rows = [("a", "one two three four", 1), ("a", "short", 2), ("b", "one two three four", 1), ("c", "one two three four", 1), ("c", None, 3)]
     df = spark.createDataFrame(rows, "id string, text string, v int")
     assert N.similar_pairs(df, version_col="v", size=3, tenths=7).count() == 0
+
+
+def drafts(seed: int, n: int) -> dict:
+    """n drafts of one text, most of them alike, beside other texts."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    texts = corpus(seed, 40)
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(12)):
+            w[r.randrange(120)] = f"name{i}x{r.randrange(9)}"
+        texts[f"z{i:03d}"] = " ".join(w)
+    return texts
+
+
+def test_groups_of_more_than_few_texts(spark):
+    """Pairs come from a group's texts with their sketches; none is lost, and no far pair is written."""
+    texts = drafts(21, 60)
+    assert 60 > N.FEW and 60 < N.HOT
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(3)
+    got = [tuple(r) for r in N.similar_pairs(df, size=3, tenths=7, anchors=None).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(texts, 3, 7)
+    far = [(5, i, 100, *[(-1) ** i * (7919 << (8 * i))] * 4) for i in range(4)] + [(5, 9, 100, -1, -1, -1, -1), (5, 8, 100, 0, 0, 0, 0), (6, 8, 100, 0, 0, 0, 0), (6, 7, 60, 0, 0, 0, 0), (6, 6, 90, 1, 0, 0, 0)]
+    columns = [list(c) for c in zip(*far)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 4]) for c in columns], names=["variant", "key", "n", "s0", "s1", "s2", "s3"]) for i in (0, 4, 8)]
+    found = {p for b in N._pairer(7)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))}
+    apart = lambda x, y: sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(x[3:], y[3:]))
+    assert found == {(min(x[1], y[1]), max(x[1], y[1])) for x in far for y in far if x[0] == y[0] and x[1] < y[1] and 10 * min(x[2], y[2]) >= 7 * max(x[2], y[2]) and 17 * apart(x, y) <= 3 * (x[2] + y[2])}
+
+
+def shuffled(batches: list) -> int:
+    return sum(len(r) for b in batches for r in b.column(2).to_pylist())
+
+
+def test_bytes_of_fingerprints_do_not_depend_on_partitions():
+    """A key is written once with all forms of a fingerprint: 8 bytes a variant, where a row of the shuffle took up to 24."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(400)) for _ in range(90)) for _ in range(200)]
+    batches = list(N._emitter(3, 12, np.empty(0, np.int64), 64)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])])))
+    variants = N.ball(*N.ring(split_words(texts), 3, N._WordHashes()), 12)
+    count = sum(v.size for v, _ in variants)
+    assert count > 200 * 40 and shuffled(batches) == 8 * count
+    kept = sorted(((b, k, x) for batch in batches for b, k, x in zip(*(c.to_pylist() for c in batch.columns))), key=lambda x: x[0])
+    keys = N.text_hashes(split_words(texts))
+    v, k = N._read(kept, N._FULL, N.RUN, True)
+    assert sorted(zip(v.tolist(), k.tolist())) == sorted((x, int(keys[o])) for forms, o in variants for row, o in zip(forms.tolist(), o) for x in row)
