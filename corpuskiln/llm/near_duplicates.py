@@ -79,7 +79,7 @@ _BUCKET, _KEPT = np.uint64(12), np.uint64(48)
 #: What a row of bytes holds: keys with all forms of a fingerprint, keys with one form, keys of common variants, forms that are common.
 _FULL, _ONE, _COMMON, _TOLD = range(4)
 #: Bytes of whole buckets that are worked on at a time.
-_WORK = 16_000_000
+_WORK = 4_000_000
 _SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
 
